@@ -69,9 +69,10 @@ class Hyperslab:
 
     def output_coords(self, axes: Sequence[str] | None = None) -> list[Column]:
         out = []
-        for k, (s, t, b) in enumerate(zip(self.start, self.stride, self.block, strict=True)):
+        for k, (s, c, t, b) in enumerate(zip(self.start, self.count, self.stride, self.block, strict=True)):
             rel = F.col((axes or [axis(n) for n in range(len(self.start))])[k]) - s
-            out.append((F.floor(rel / F.lit(t)) * b + rel % t).cast("long"))
+            # A single block may be longer than the stride.
+            out.append((F.floor(rel / F.lit(t)) * b + rel % t if c > 1 else rel).cast("long"))
         return out
 
     def output_index(self, axes: Sequence[str] | None = None) -> Column:
