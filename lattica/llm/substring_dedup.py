@@ -4,11 +4,12 @@ A difference cover D modulo v holds, for any two positions, an offset d < v that
 whose remainder is in D. So if windows of W words are equal at two places, the anchor windows of W - v + 1
 words that start d words further in are equal too, and both start at cover positions. Only those (4 of 13
 positions at W = 20) are hashed and shuffled in the first pass. Where an anchor is found elsewhere, the
-second pass extends it: it hashes the whole windows around it (96 bits), and the earliest place of each
+second pass extends it: it hashes the whole windows around it (64 bits, and the bucket's bits), and the earliest place of each
 window keeps it. Windows are judged on the input: (doc id, start), smaller first, null ids first.
 
 Both passes pre-aggregate: what repeats within an Arrow batch is settled there, and one row of it goes on.
-Hashes are shuffled as packed arrays by bucket; what comes back is packed by document.
+Hashes and positions are shuffled as packed arrays, one for each batch and bucket; there is a bucket for each
+shuffle partition, and documents have buckets too, by their key.
 
 Cases: a null text has no words. Rows with one id and one text are one document: each gets its result, and
 they don't repeat each other. Rows with one id and several texts are ordered by the texts' hashes. A text of
@@ -35,7 +36,8 @@ WINDOW = 20
 #: Perfect difference covers by period.
 COVERS = {13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
 LEAST_ANCHOR = 8
-_SPLIT = 8  # buckets for each shuffle partition
+#: How hard texts are compressed for the shuffle.
+TEXT_LEVEL = 3
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -48,31 +50,61 @@ def doc_key(doc_id, text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest(repr(doc_id).encode())) - (1 << 63)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The first bytes of all elements, then the second ones, and so on: small numbers compress to little."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join([np.array([len(arrays[0])], dtype=np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]), 1)
+    return zstandard.compress(b"".join([np.array([len(arrays[0])], dtype=np.int64).tobytes(), *map(_planes, arrays)]), 1)
 
 
 def unpack(data: bytes, *types) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     for t in types:
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(-1))
+        at += n * size
     return out
 
 
+def bucket_names(n: int) -> np.ndarray:
+    """For each of n shuffle partitions an int that Spark's hash partitioning deals to it."""
+    names, at = np.full(n, -1, dtype=np.int64), 0
+    m = np.uint64(0xFFFFFFFF)
+    rot = lambda x, r: ((x << np.uint64(r)) | (x >> np.uint64(32 - r))) & m
+    while (names < 0).any():
+        ids = np.arange(at, at + 4 * n, dtype=np.uint64)
+        k = rot(ids * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (rot(np.uint64(42) ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+        h ^= np.uint64(4)
+        for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(times) & m
+        place = h.astype(np.uint32).view(np.int32).astype(np.int64) % n
+        free = names[place] < 0
+        names[place[free][::-1]] = ids[free][::-1].astype(np.int64)
+        at += 4 * n
+    return names
+
+
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
     return starts, np.diff(starts, append=len(key))
 
 
-def by_document(keys: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Keys once each, and their positions as packed uint32."""
-    order = np.argsort(keys, kind="stable")
-    keys, at = keys[order], at[order].astype(np.uint32)
-    starts, _ = _runs(keys)
-    offsets = np.append(starts, len(keys)).astype(np.int32) * 4
-    return pa.array(keys[starts]), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.tobytes())])
+def _by_bucket_of(names: np.ndarray, place: np.ndarray, parts: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Bucket names and packed arrays of rows that are to go to a place each; rows keep their order."""
+    order = np.argsort(place, kind="stable")
+    place, parts = place[order], [p[order] for p in parts]
+    starts, sizes = _runs(place)
+    return pa.array(names[place[starts]], pa.int32()), pa.array([pack(*(p[s : s + m] for p in parts)) for s, m in zip(starts, sizes, strict=True)], pa.binary())
+
+
+def _marks_of(names: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Positions of documents, by the documents' buckets."""
+    order = np.lexsort((at, keys))
+    return _by_bucket_of(names, keys[order] % len(names), [keys[order], at[order].astype(np.uint32)])
 
 
 class Documents:
@@ -87,25 +119,19 @@ class Documents:
         return [j[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + width - 1].tolist(), strict=True)]
 
 
-#: Rows between passes. kind 0: positions of the document key; kind 1: hashes of a bucket.
-_ROWS = "kind int, bucket int, k bigint, data binary"
-_MARKS = "k bigint, data binary"
+#: Rows between passes. kind 0: positions of documents of a bucket; kind 1: hashes of a bucket.
+_ROWS = "kind int, bucket int, data binary"
+_MARKS = "bucket int, data binary"
 
 
-def _hash_rows(schema: pa.Schema, buckets: np.ndarray, parts: list[np.ndarray], marked: tuple[np.ndarray, np.ndarray], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows by bucket, and settled positions by document (dealt out by the document key)."""
-    order = np.argsort(buckets, kind="stable")
-    buckets, parts = buckets[order], [p[order] for p in parts]
-    starts, sizes = _runs(buckets)
-    if len(starts):
-        blobs = [pack(*(p[s : s + m] for p in parts)) for s, m in zip(starts, sizes, strict=True)]
-        yield batch_of(schema, [np.ones(len(starts), np.int32), buckets[starts].astype(np.int32), np.zeros(len(starts), np.int64), pa.array(blobs, pa.binary())])
-    if len(marked[0]):
-        k, data = by_document(*marked)
-        yield batch_of(schema, [np.zeros(len(k), np.int32), (k.to_numpy() % n_buckets).astype(np.int32), k, data])
+def _hash_rows(schema: pa.Schema, names: np.ndarray, place: np.ndarray, parts: list[np.ndarray], marked: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Packed hashes by bucket, and what is settled by the documents' buckets."""
+    for kind, (bucket, data) in ((1, _by_bucket_of(names, place, parts)), (0, _marks_of(names, *marked))):
+        if len(bucket):
+            yield batch_of(schema, [np.full(len(bucket), kind, np.int32), bucket, data])
 
 
-def _anchors(schema: pa.Schema, window: int, n_buckets: int) -> Callable:
+def _anchors(schema: pa.Schema, window: int, names: np.ndarray) -> Callable:
     period, cover = cover_for(window)
     width = window - period + 1
     in_cover = np.isin(np.arange(period), cover)
@@ -134,15 +160,14 @@ def _anchors(schema: pa.Schema, window: int, n_buckets: int) -> Callable:
             first[order[starts]] = True
             twice = np.zeros(len(h), dtype=bool)
             twice[order] = again
-            send = np.flatnonzero(first)
-            owners, index = np.unique(k[send], return_inverse=True)
-            # The document's key is sent with each hash as eight bytes that compress well: hashes of a bucket stay in document order.
-            yield from _hash_rows(schema, ((h[send] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), [h[send].astype(np.uint32), owners[index], p[send], twice[send]], (k[twice & ~first], p[twice & ~first]), n_buckets)
+            send, rest = np.flatnonzero(first), twice & ~first
+            place = ((h[send] >> np.uint64(32)) % np.uint64(len(names))).astype(np.int64)
+            yield from _hash_rows(schema, names, place, [h[send].astype(np.uint32), k[send], p[send], twice[send]], (k[rest], p[rest]))
 
     return run
 
 
-def _group_anchors(schema: pa.Schema) -> Callable:
+def _group_anchors(schema: pa.Schema, names: np.ndarray) -> Callable:
     """Positions of anchors that are found twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +184,7 @@ def _group_anchors(schema: pa.Schema) -> Callable:
 
         yield from _by_bucket(schema, batches, settle, (np.uint32, np.int64, np.uint32, np.bool_))
         if keys and len(k := np.concatenate(keys)):
-            yield batch_of(schema, list(by_document(k, np.concatenate(places))))
+            yield batch_of(schema, list(_marks_of(names, k, np.concatenate(places))))
 
     return run
 
@@ -171,8 +196,8 @@ def _by_bucket(schema: pa.Schema, batches: Iterator[pa.RecordBatch], settle: Cal
         kind = batch.column(0).to_numpy()
         if (kind == 0).any():
             part = batch.filter(pa.array(kind == 0))
-            yield batch_of(schema, [part.column(2), part.column(3)])
-        for b, is_hash, data in zip(batch.column(1).to_pylist(), kind.tolist(), batch.column(3), strict=True):
+            yield batch_of(schema, [part.column(1), part.column(2)])
+        for b, is_hash, data in zip(batch.column(1).to_pylist(), kind.tolist(), batch.column(2), strict=True):
             if not is_hash:
                 continue
             if b != bucket and held:
@@ -184,19 +209,19 @@ def _by_bucket(schema: pa.Schema, batches: Iterator[pa.RecordBatch], settle: Cal
         settle(held)
 
 
-def _documents(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """(k, kind, id, data, carry) of each row: the document key, 1, the id, the compressed text and the carried columns."""
-    own = [StructField("k", plain("k bigint")[0][0].dataType), StructField("kind", plain("k int")[0][0].dataType), StructField("id", df.schema[id_col].dataType), StructField("data", plain("k binary")[0][0].dataType)]
+def _documents(df: DataFrame, id_col: str, text_col: str, names: np.ndarray, carry: list[str]) -> DataFrame:
+    """(bucket, kind, id, data, carry) of each row: its bucket, 1, the id, the compressed text and the carried columns."""
+    own = [*plain("bucket int, kind int")[0].fields, StructField("id", df.schema[id_col].dataType), *plain("data binary")[0].fields]
     extra = [StructField("carry", StructType([df.schema[c] for c in carry]))] if carry else []
     out = StructType(own + extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_text = zstandard.ZstdCompressor(level=1).compress
+        zip_text = zstandard.ZstdCompressor(level=TEXT_LEVEL).compress
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            keys = pa.array([doc_key(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64())
+            keys = np.array([doc_key(i, t) for i, t in zip(ids, texts, strict=True)], dtype=np.int64)
             data = pa.array([zip_text(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
-            cols = [keys, pa.array(np.ones(len(ids), np.int32)), batch.column(0), data, *batch.columns[2:]]
+            cols = [pa.array(names[keys % len(names)], pa.int32()), pa.array(np.ones(len(ids), np.int32)), batch.column(0), data, *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out.fields])
 
     picked = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *([F.struct(*[df[c] for c in carry]).alias("carry")] if carry else []))
@@ -204,37 +229,56 @@ def _documents(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> D
 
 
 def _met(marks: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Marks and texts of each document in one partition, marks first."""
+    """Positions and texts of each bucket in one partition, positions first."""
     rows = docs.unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    return rows.repartition(n, "k").sortWithinPartitions("k", "kind")
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+class _Bucket:
+    """The positions of a bucket's documents, and which of these were seen."""
+
+    def __init__(self, name: int):
+        self.name, self.parts, self.seen = name, [], set()
+        self.keys = None
+
+    def at(self, key: int) -> np.ndarray:
+        if self.keys is None:
+            none = [np.zeros(0, np.int64), np.zeros(0, np.uint32)]
+            self.keys, self.places = (np.concatenate(x) for x in zip(*(self.parts or [none]), strict=True))
+            order = np.argsort(self.keys, kind="stable")
+            self.keys, self.places, self.parts = self.keys[order], self.places[order].astype(np.int64), []
+        a, b = np.searchsorted(self.keys, [key, key + 1] if key < np.iinfo(np.int64).max else [key, key])
+        return self.places[a:b]
 
 
-def _each_document(batch: pa.RecordBatch, state: dict) -> Iterator[tuple[int, int, object, str, np.ndarray]]:
-    """(row, key, id, text, positions) of the document rows of a sorted batch; state holds the marks of a key across batches."""
-    keys, kinds, ids, data = (batch.column(i) for i in range(4))
+def _each_document(batch: pa.RecordBatch, state: list[_Bucket]) -> Iterator[tuple[int, int, object, str, np.ndarray, bool]]:
+    """(row, key, id, text, positions, is the first with its key) of the document rows of a sorted batch; state holds the bucket across batches."""
+    names, kinds, ids, data = (batch.column(i) for i in range(4))
     ids = ids.to_pylist()
-    for row, (k, kind) in enumerate(zip(keys.to_pylist(), kinds.to_pylist(), strict=True)):
-        if k != state.get("k"):
-            state.clear()
-            state.update(k=k, marks=[], docs=0)
+    unzip = zstandard.ZstdDecompressor().decompress
+    for row, (name, kind) in enumerate(zip(names.to_pylist(), kinds.to_pylist(), strict=True)):
+        if not state or state[0].name != name:
+            state[:] = [_Bucket(name)]
+        bucket = state[0]
         if kind == 0:
-            state["marks"].append(np.frombuffer(data[row].as_buffer(), np.uint32))
+            bucket.parts.append(unpack(data[row].as_buffer(), np.int64, np.uint32))
         else:
-            state["docs"] += 1
-            text = zstandard.decompress(data[row].as_buffer()).decode("utf-8", "surrogatepass")
-            yield row, k, ids[row], text, np.concatenate(state["marks"]).astype(np.int64) if state["marks"] else np.zeros(0, np.int64)
+            text = unzip(data[row].as_buffer()).decode("utf-8", "surrogatepass")
+            key = doc_key(ids[row], text)
+            yield row, key, ids[row], text, bucket.at(key), key not in bucket.seen
+            bucket.seen.add(key)
 
 
-def _windows(schema: pa.Schema, window: int, n_buckets: int) -> Callable:
+def _windows(schema: pa.Schema, window: int, names: np.ndarray) -> Callable:
     """Hash the whole windows around the anchors that were found elsewhere; the earliest of each in a batch goes on, the others are settled."""
     period, _ = cover_for(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, state = xxhash.xxh3_128_digest, {}
+        digest, state = xxhash.xxh3_128_digest, []
         for batch in batches:
             hashes, ids, keys, places = [], [], [], []
-            for _, key, doc_id, text, anchors in _each_document(batch, state):
-                if not len(anchors) or state["docs"] > 1:
+            for _, key, doc_id, text, anchors, is_first in _each_document(batch, state):
+                if not len(anchors) or not is_first:
                     continue
                 doc = Documents(text)
                 last = doc.n - window
@@ -250,8 +294,9 @@ def _windows(schema: pa.Schema, window: int, n_buckets: int) -> Callable:
             if not hashes:
                 continue
             h, i, k, p = (np.concatenate(x) for x in (hashes, ids, keys, places))
-            first, rest = _earliest(h[:, 0], h[:, 1], i, k, p)
-            yield from _hash_rows(schema, ((h[first, 1] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), [h[first, 0], h[first, 1].astype(np.uint32), i[first], k[first], p[first]], (k[rest], p[rest]), n_buckets)
+            place = ((h[:, 1] >> np.uint64(32)) % np.uint64(len(names))).astype(np.int64)
+            first, rest = _earliest(h[:, 0], place, i, k, p)
+            yield from _hash_rows(schema, names, place[first], [h[first, 0], i[first], k[first], p[first]], (k[rest], p[rest]))
 
     return run
 
@@ -265,19 +310,19 @@ def _earliest(h: np.ndarray, g: np.ndarray, i: np.ndarray, k: np.ndarray, p: np.
     return first, order[~new]
 
 
-def _group_windows(schema: pa.Schema) -> Callable:
+def _group_windows(schema: pa.Schema, names: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, places = [], []
 
         def settle(parts: list[list[np.ndarray]]) -> None:
-            h, g, i, k, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, rest = _earliest(h, g, i, k, p)
+            h, i, k, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, rest = _earliest(h, np.zeros(len(h), np.int64), i, k, p)
             keys.append(k[rest])
             places.append(p[rest])
 
-        yield from _by_bucket(schema, batches, settle, (np.uint64, np.uint32, np.int64, np.int64, np.uint32))
+        yield from _by_bucket(schema, batches, settle, (np.uint64, np.int64, np.int64, np.uint32))
         if keys and len(k := np.concatenate(keys)):
-            yield batch_of(schema, list(by_document(k, np.concatenate(places))))
+            yield batch_of(schema, list(_marks_of(names, k, np.concatenate(places))))
 
     return run
 
@@ -286,24 +331,24 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """For each row its id, its words, how many of them repeated windows cover, the text of the others (joined by one space), and the carried columns. Ids are integers."""
     spark = df.sparkSession
     n = shuffle_partitions(spark)
-    n_buckets = n * _SPLIT
+    names = bucket_names(n)
     rows, rows_schema = plain(_ROWS)
     marks, marks_schema = plain(_MARKS)
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    anchors = source.mapInArrow(_anchors(rows_schema, window, n_buckets), rows)
-    repeated = anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group_anchors(marks_schema), marks)
-    texts = _documents(df, id_col, text_col, [])
-    whole = _met(repeated, texts, n).mapInArrow(_windows(rows_schema, window, n_buckets), rows)
-    later = whole.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group_windows(marks_schema), marks)
-    texts = _documents(df, id_col, text_col, list(carry))
+    anchors = source.mapInArrow(_anchors(rows_schema, window, names), rows)
+    repeated = anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group_anchors(marks_schema, names), marks)
+    texts = _documents(df, id_col, text_col, names, [])
+    whole = _met(repeated, texts, n).mapInArrow(_windows(rows_schema, window, names), rows)
+    later = whole.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group_windows(marks_schema, names), marks)
+    texts = _documents(df, id_col, text_col, names, list(carry))
     fields = [StructField(id_col, df.schema[id_col].dataType), *plain("n_words bigint, n_removed bigint, kept string")[0].fields]
     out = StructType(fields + [StructField("carry", StructType([df.schema[c] for c in carry]))] * bool(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        state: list[_Bucket] = []
         for batch in batches:
             at, words, removed, kept = [], [], [], []
-            for row, _, _, text, starts in _each_document(batch, state):
+            for row, _, _, text, starts, _ in _each_document(batch, state):
                 data = text.encode("utf-8", "surrogatepass").split()
                 cover = np.zeros(len(data) + window + 1, dtype=np.int64)
                 np.add.at(cover, starts, 1)
