@@ -201,3 +201,35 @@ def lazy_trigger(underflow: Column, total: Column, seconds: Column, threshold: f
 def incremental_eta(left: Column, per_session: Column, session_ms: int = 100, interval_ms: int = 5000) -> Column:
     """Milliseconds until all is done, at so many nodes a session."""
     return F.when(per_session > 0, F.ceil(left / F.nullif(per_session, F.lit(0))) * (session_ms + interval_ms)).otherwise(F.lit(None).cast("long"))
+
+
+def running_average(evaluations: DataFrame, value: str, key: str = "key") -> DataFrame:
+    """The mean of a value over all evaluations of a key so far."""
+    so_far = Window.partitionBy(key).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return evaluations.withColumn("average", F.avg(value).over(so_far))
+
+
+def detector_stats(events: DataFrame, key: str = "key", config: WorkloadConfig = DEFAULT) -> DataFrame:
+    """All events of a key, and those within the window that ends at its last one."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.groupBy(F.col(key).alias("k2")).agg(F.max(us).alias("end"))
+    joined = events.join(ends, events[key].eqNullSafe(ends["k2"]))
+    return joined.groupBy(key).agg(F.count("*").alias("total"), F.count_if(us >= F.col("end") - config.window_seconds * 1_000_000).alias("in_window"))
+
+
+def as_json(metrics: DataFrame) -> DataFrame:
+    """Each row of metrics as one JSON text."""
+    return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("json"))
+
+
+def check_lazy(threshold: float, most_seconds: float, batch: int = 100) -> None:
+    """The bounds of a batched configuration, or an error."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is over 0 and at most 1")
+    if most_seconds <= 0 or batch < 1:
+        raise ValueError("delay and batch size are positive")
+
+
+def check_incremental(budget_ms: float, interval_ms: float) -> None:
+    if budget_ms <= 0 or interval_ms <= 0:
+        raise ValueError("budget and interval are positive")

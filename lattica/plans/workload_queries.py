@@ -120,6 +120,21 @@ def maintenance_triggers(spark, sf_dir):
     return e.select("user_id", "total", "bad", workload.lazy_trigger(F.col("bad"), F.col("total"), F.col("total")).alias("due"), workload.incremental_eta(F.col("total"), F.col("per")).cast("long").alias("eta_ms"))
 
 
+@query(f"{ops_sql()} SELECT key, seq, round(avg(file_size) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 4) AS average FROM ops")
+def wl_running_average(spark, sf_dir):
+    return workload.running_average(operations(spark, sf_dir), "file_size").select("key", "seq", F.round("average", 4).alias("average"))
+
+
+@query(f"{ops_sql()} SELECT key, count(*) AS total, count(*) FILTER (us >= e - 21600000000) AS in_window FROM (SELECT *, max(us) OVER (PARTITION BY key) AS e FROM ops) GROUP BY 1")
+def wl_detector_stats(spark, sf_dir):
+    return workload.detector_stats(operations(spark, sf_dir), config=CONFIG)
+
+
+@query(f"""{ops_sql()} SELECT '{{"bucket":"' || bucket || '","n":' || n || '}}' AS json FROM (SELECT CASE WHEN file_size < 104857600 THEN 'small' WHEN file_size < 524288000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n FROM ops GROUP BY 1)""")
+def wl_metrics_json(spark, sf_dir):
+    return workload.as_json(workload.size_histogram(operations(spark, sf_dir)))
+
+
 @query(f"""{ops_sql()} SELECT key, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS n, count(*) FILTER (op = 'Delete') AS deletes, arg_max(file_size, us) AS last_size FROM ops GROUP BY ALL""")
 def wl_stream_features(spark, sf_dir):
     """The same features from a stream over the events, run until all input is read."""

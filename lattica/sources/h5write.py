@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from lattica.functions.codecs import DEFLATE, FLETCHER32, LZF, NAMES, SHUFFLE, encode, lookup3
+from lattica.functions.codecs import DEFLATE, FLETCHER32, LZF, NAMES, SHUFFLE, decode, encode, lookup3
 from lattica.functions.shapes import LIMIT_CHUNK_BYTES, LIMIT_STRING_BYTES, chunk_counts, safe_product
 
-from .h5read import SIGNATURE, UNDEFINED
-from .h5types import ARRAY, COMPOUND, ENUM, FIXED, FLOAT, OPAQUE, REFERENCE, STRING, VLEN, VLEN_STRING, FormatError, H5Type, encode_type, floating, integer, numpy_type
+from .h5read import SIGNATURE, UNDEFINED, Reader, opener
+from .h5types import ARRAY, COMPOUND, ENUM, FIXED, FLOAT, OPAQUE, REFERENCE, STRING, VLEN, VLEN_STRING, FormatError, H5Type, encode_type, floating, integer, numpy_type, parse_type
 
 CHUNK_NODE = 64  # chunks in a node of their index
 
@@ -62,6 +62,11 @@ def infer_type(value) -> tuple[H5Type, tuple[int, ...], list]:
     raise ValueError(f"no type for {type(value).__name__}")
 
 
+def refers(t: H5Type) -> bool:
+    """Whether values of a type point into a heap."""
+    return t.kind == VLEN or t.base is not None and refers(t.base) or any(refers(m) for _, _, m in t.members)
+
+
 @dataclass
 class _Collection:
     at: int
@@ -87,6 +92,65 @@ class Writer:
     def __exit__(self, kind, *_) -> None:
         self.close() if kind is None else self.file.close()
 
+    @classmethod
+    def revise(cls, source: str, target: str, superblock: int = 2) -> Writer:
+        """A writer of a new file that starts as a copy of another: files are never changed in place.
+
+        Raw chunks are copied as they are; values that refer to a heap are read and written anew.
+        """
+        r, w = Reader(opener(source)), cls(target, superblock=superblock)
+        paths = {r.root: "/"}
+        w._copy_attributes(r, "/", r.header(r.root))
+        for path, link, header in r.walk():
+            if header is None:
+                w.soft_link(path, link.path) if link.kind == "soft" else w.external_link(path, link.file, link.path)
+            elif header.address in paths:
+                parent, name = w._place(path)
+                parent["links"][name] = ("hard", paths[header.address])
+            else:
+                paths[header.address] = path
+                w._copy(r, path, header)
+        return w
+
+    def _copy_attributes(self, r: Reader, path: str, header) -> None:
+        for a in r.attributes(header):
+            if a.type is None:
+                raise FormatError(f"an attribute of {path} can't be read: {a.error}")
+            raw = a.raw
+            if refers(a.type):
+                value = r.attribute_value(a)
+                raw = self.encode(a.type, value if isinstance(value, list) else [value])
+            self.nodes[path]["attrs"][a.name] = (a.type, a.space.dims, raw)
+
+    def _copy(self, r: Reader, path: str, header) -> None:
+        if header.kind == "datatype":
+            self.named_type(path, parse_type(r.message(header, 3))[0])
+        elif header.kind == "dataset":
+            d = r.dataset(header)
+            limits = d.space.max_dims if d.space.max_dims != d.space.dims else None
+            chunked = d.layout == "chunked"
+            out = self.layout(path, d.type, d.space.dims, d.chunk_dims if chunked else None, d.filters if chunked else (), limits if chunked else None, d.fill)
+            if refers(d.type):
+                values = lambda x: r.values().of(d.type, np.ascontiguousarray(x).reshape(-1, *numpy_type(d.type).shape))
+                for c in r.chunks(d) if chunked else ():
+                    self.chunk(path, c.coords, np.frombuffer(self.encode(d.type, values(r.chunk_array(d, c))), dtype=f"V{d.type.size}").reshape(d.chunk_dims))
+                if not chunked:
+                    data = self.encode(d.type, values(r.box(d, (0,) * len(d.space.dims), d.space.dims)))
+                    out["address"], out["nbytes"] = self.append(data), len(data)
+            elif chunked:
+                for c in r.chunks(d):
+                    raw = r.read(c.address, c.nbytes)
+                    if c.mask:
+                        self.chunk(path, c.coords, np.frombuffer(decode(raw, d.filters, c.mask), dtype=f"V{d.type.size}").reshape(d.chunk_dims))
+                    else:
+                        out["index"].append((tuple(k * n for k, n in zip(c.coords, d.chunk_dims, strict=True)), c.nbytes, self.append(raw)))
+            else:
+                data = d.data if d.layout == "compact" else r.read(d.address, d.nbytes) if d.address != UNDEFINED else b"\0" * (d.space.size * d.type.size)
+                out["address"], out["nbytes"] = self.append(data), len(data)
+        else:
+            self.group(path)
+        self._copy_attributes(r, path, header)
+
     def append(self, data: bytes) -> int:
         self.file.seek(0, 2)
         at = self.file.tell()

@@ -179,10 +179,95 @@ def test_old_layout(tmp_path):
     assert (a.name, r.attribute_value(a)) == ("u", 9.5)
 
 
+def test_a_revised_copy(path, tmp_path):
+    new = str(tmp_path / "new.h5")
+    w = Writer.revise(path, new)
+    w.attribute("/f", "codes", 5)
+    w.delete_attribute("/g", "a01")
+    w.dataset("/g/sub/more", [1, 2], t.integer(16), dims=(2,))
+    w.resize("/g/c", (12, 35))
+    w.delete("/big")
+    w.close()
+    r, old = Reader(opener(new)), Reader(opener(path))
+    assert (r.array("/g/c") == A[:12]).all() and (r.array("/sparse") == old.array("/sparse")).all()
+    for name in ("/vs", "/vi", "/struct", "/enum", "/uint64", "/bf16", "/opaque"):
+        assert values(r, name) == values(old, name)
+    assert {p for p, _, _ in r.walk()} == {p for p, _, _ in old.walk()} - {"/big"} | {"/g/sub/more"}
+    assert {a.name: r.attribute_value(a) for a in r.attributes(r.find("/f"))} == {"names": ["x", "yy"], "codes": 5}
+    assert len(r.attributes(r.find("/g"))) == 11
+
+
+def dense_file(path):
+    """By hand, from the published format: a group whose links are in a fractal heap, found by a version 2 index of two levels; one attribute likewise."""
+    u, sum_ = (1 << 64) - 1, lambda b: b + struct.pack("<I", codecs.lookup3(b))
+    out = bytearray(b"\0" * 48)
+
+    def put(b):
+        out.extend(b"\0" * (-len(out) % 8))
+        out.extend(b)
+        return len(out) - len(b)
+
+    def header(parts):
+        body = b"".join(struct.pack("<BHB", k, len(d), 0) + d for k, d in parts)
+        return put(sum_(b"OHDR\x02\x02" + struct.pack("<I", len(body)) + body))
+
+    def heap(objects, rows):
+        """Objects in direct blocks of 512 bytes: one block as the root, or four to a row below an indirect block."""
+        front = 5 + 8 + 4
+        blocks, ids = [bytearray(front)], []
+        for o in objects:
+            if rows and len(blocks[-1]) + len(o) > 512:
+                blocks.append(bytearray(front))
+            ids.append(bytes([0]) + struct.pack("<I", 512 * (len(blocks) - 1) + len(blocks[-1])) + struct.pack("<H", len(o)))
+            blocks[-1] += o
+        places = [put(bytes(b).ljust(512, b"\0")) for b in blocks]
+        for k, p in enumerate(places):
+            out[p : p + 17] = b"FHDB\0" + struct.pack("<QI", 0, 512 * k)
+        root = put(b"FHIB\0" + struct.pack("<QI", 0, 0) + b"".join(struct.pack("<Q", p) for p in places + [u] * (4 * rows - len(places)))) if rows else places[0]
+        head = b"FRHP\0" + struct.pack("<HHBI", 7, 0, 0, 400) + struct.pack("<QQQQQQQQ", 0, u, 0, u, 0, 0, 0, len(objects)) + struct.pack("<QQQQ", 0, 0, 0, 0)
+        head += struct.pack("<HQQHHQH", 4, 512, 512, 32, 1, root, rows)
+        return put(sum_(head)), ids
+
+    def tree(kind, records, split):
+        size, node = len(records[0]), 160
+        leaf = lambda rs: put(sum_(b"BTLF\0" + bytes([kind]) + b"".join(rs)).ljust(node, b"\0"))
+        if split:
+            k = len(records) // 2
+            a, b = leaf(records[:k]), leaf(records[k + 1 :])
+            root, n = put((b"BTIN\0" + bytes([kind]) + records[k] + struct.pack("<QB", a, k) + struct.pack("<QB", b, len(records) - k - 1)).ljust(node, b"\0")), 1
+        else:
+            root, n = leaf(records), len(records)
+        return put(sum_(b"BTHD\0" + bytes([kind]) + struct.pack("<IHHBBQHQ", node, size, int(split), 100, 40, root, n, len(records))))
+
+    kind, space = t.encode_type(t.integer(32)), bytes([2, 1, 0, 1]) + struct.pack("<Q", 3)
+    names = [f"v{k:02}" for k in range(16)]
+    sets = [header([(3, kind), (1, space), (8, bytes([3, 1]) + struct.pack("<QQ", put(struct.pack("<3i", k, k + 1, k + 2)), 12))]) for k in range(16)]
+    links = [bytes([1, 0, len(n)]) + n.encode() + struct.pack("<Q", a) + b" " * 60 for n, a in zip(names, sets, strict=True)]
+    at, ids = heap(links, 1)
+    records = sorted(struct.pack("<I", codecs.lookup3(n.encode())) + i for n, i in zip(names, ids, strict=True))
+    index = tree(5, records, True)
+    attribute = struct.pack("<BBHHHB", 3, 0, 2, len(kind), 4, 0) + b"x\0" + kind + bytes([2, 0, 0, 0]) + struct.pack("<i", -4)
+    heap2, ids2 = heap([attribute], 0)
+    index2 = tree(8, [ids2[0].ljust(8, b"\0") + b"\0" + struct.pack("<II", 0, codecs.lookup3(b"x"))], False)
+    root = header([(2, struct.pack("<BBQQ", 0, 0, at, index)), (21, struct.pack("<BBQQ", 0, 0, heap2, index2))])
+    head = b"\x89HDF\r\n\x1a\n" + bytes([2, 8, 8, 0]) + struct.pack("<QQQQ", 0, u, len(out), root)
+    out[:48] = sum_(head)
+    path.write_bytes(out)
+
+
+def test_indexed_links_and_attributes(tmp_path):
+    dense_file(tmp_path / "dense.h5")
+    r = Reader(opener(str(tmp_path / "dense.h5")))
+    assert [p for p, _, _ in r.walk()] == [f"/v{k:02}" for k in range(16)]
+    assert r.array("/v07").tolist() == [7, 8, 9] and r.array("/v15").tolist() == [15, 16, 17]
+    (a,) = r.attributes(r.header(r.root))
+    assert (a.name, r.attribute_value(a)) == ("x", -4)
+
+
 def test_refusals(tmp_path):
     w = Writer(str(tmp_path / "w.h5"))
     for call in (
-        lambda: w.dataset("x", [1], t.integer(32)), lambda: w.dataset("/x", [], t.integer(32), dims=()) if False else w.dataset("/x", np.zeros((0,)), t.integer(32)),
+        lambda: w.dataset("x", [1], t.integer(32)), lambda: w.dataset("/x", np.zeros((0,)), t.integer(32)),
         lambda: w.dataset("/x", [1, 2], t.integer(32), dims=(2,), chunks=(3,)), lambda: w.dataset("/x", [1, 2], t.integer(32), dims=(2,), filters=filter_list(4, gzip=1)),
         lambda: filter_list(4, gzip=10), lambda: w.dataset("/x", [1, 2, 3], t.integer(32), dims=(2,)), lambda: w.attribute("/", "e", []), lambda: w.external_link("/e", "../x.h5", "/a"),
         lambda: w.soft_link("/s", ""), lambda: t.fixed_string(0), lambda: t.array_of(t.integer(8), ()), lambda: t.enum_of(t.integer(8), {}), lambda: w.group("/a//b"),
