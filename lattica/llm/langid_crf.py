@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from .letters import Words, mix, words_of
 
 #: Training rows of each language at most (about): the bound of the fitting sample.
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE = 250
 BITS, LEXICON_BITS = 17, 17
 CHARS_AT_ONCE = 2_000_000
 _A, _B = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407)
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mix(h) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def char_features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .letters import Words, mix, words_of
 
 #: Labelled documents that the fit uses at most (about).
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 6_000
 BITS = 20
 CHARS_AT_ONCE = 2_000_000
 
@@ -64,24 +64,41 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all features with their sentence and document, and the document of each sentence; made part by part."""
+    out, sentences, at = [], 0, 0
+    while at < len(texts):
+        part, chars = [], 0
+        while at + len(part) < len(texts) and chars < CHARS_AT_ONCE:
+            part.append(texts[at + len(part)])
+            chars += len(part[-1])
+        w = words_of(part)
+        begin, has = beginnings(w)
+        long = has >= 0
+        out.append((np.concatenate((w.hashes, begin)), np.concatenate((w.sentence, w.sentence[long])) + sentences, np.concatenate((w.doc, w.doc[long])) + at, sentence_docs(w) + at))
+        sentences += len(out[-1][3])
+        at += len(part)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def fit(texts: list[str], toxic: list[int], least_docs: int = 4, epochs: int = 120, penalty: float = 0.003) -> Mil | None:
     """Full-batch AdaGrad on the noisy-or likelihood, with an L1 penalty that leaves chance words at zero."""
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    w = words_of(texts)
-    begin, has = beginnings(w)
-    in_sentence, in_doc = np.concatenate((w.sentence, w.sentence[has >= 0])), np.concatenate((w.doc, w.doc[has >= 0]))
-    words, index = np.unique(np.concatenate((w.hashes, begin)), return_inverse=True)
-    doc_words = np.unique(in_doc.astype(np.int64) * len(words) + index)
+    hashes, in_sentence, in_doc, doc = bags(texts)
+    words, index = np.unique(hashes, return_inverse=True)
+    del hashes
+    doc_words = np.unique(in_doc * len(words) + index)
+    del in_doc
     common = np.bincount(doc_words % len(words), minlength=len(words)) >= least_docs
     keep = np.cumsum(common) - 1
     used = common[index]
     # A word counts once in a sentence.
-    pairs = np.unique(in_sentence[used].astype(np.int64) << 32 | keep[index[used]])
+    pairs = np.unique(in_sentence[used] << 32 | keep[index[used]])
     sentence, word = pairs >> 32, pairs & 0xFFFFFFFF
-    n_sentences, n_words = int(w.sentence[-1]) + 1, int(common.sum())
-    doc = sentence_docs(w)
+    n_sentences, n_words = len(doc), int(common.sum())
+    del index, used, in_sentence, pairs
     weights, bias = np.zeros(n_words), -5.0
     g2, b2 = np.full(n_words, 1e-3), 1e-3
     n_docs = len(y)
