@@ -14,7 +14,7 @@ from itertools import chain
 import sentencepiece
 
 SPACE_PIECE = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 CACHE_LONGEST = 40
 _SEGMENT = re.compile(r" +[^ ]*")
 

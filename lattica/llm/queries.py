@@ -9,7 +9,7 @@ from . import chat_format, langid_crf, toxicity_mil, url_filter
 from .common import table
 from .decontaminate import decontaminate
 from .quality_rules import quality_rules
-from .sentencepiece_scan import sentencepiece_decode, sentencepiece_encode
+from .sentencepiece_scan import sentencepiece_encode
 from .simhash_dedup import simhash_components
 from .substring_dedup import ORACLE as SUBSTRING_ORACLE
 from .substring_dedup import substring_dedup
@@ -72,8 +72,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     seen = F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" ")), 256)
     docs = docs.select("doc_id", "text", seen.alias("seen_sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    coded = sentencepiece_encode(docs, carry=("seen_sha256", "n_chars"))
-    out = coded.select("doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "seen_sha256", F.sha2(sentencepiece_decode(F.col("pieces")), 256).alias("decoded_sha256"))
+    coded = sentencepiece_encode(docs, carry=("seen_sha256", "n_chars"), decode=True)
+    out = coded.select("doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "seen_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
     return out.select("doc_id", "n_chars", "n_pieces", "pieces_hash", "decoded_sha256", (F.col("seen_sha256") == F.col("decoded_sha256")).alias("round_trip"))
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .pieces import PieceCodec, codec, vocabulary
 from .shapes import plain
@@ -224,12 +224,13 @@ def _chunk_states(lattice: Lattice, part: str, lo: int, hi: int, off: int) -> tu
     return left, right
 
 
-def sentencepiece_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """For each row its id, its piece ids (array of int) and the carried columns."""
+def sentencepiece_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, carry: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
+    """For each row its id, its piece ids (array of int), with decode also what they decode to (``decoded``), and the carried columns."""
     kind = df.schema[id_col].dataType
     extra = [StructField("carry", StructType([df.schema[c] for c in carry]))] if carry else []
     source = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"), *([F.struct(*[df[c] for c in carry]).alias("carry")] if carry else []))
-    done = StructType([StructField("id", kind), StructField("pieces", ArrayType(IntegerType())), *extra])
+    back = [StructField("decoded", StringType())] if decode else []
+    done = StructType([StructField("id", kind), StructField("pieces", ArrayType(IntegerType())), *back, *extra])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec(model or vocabulary())
@@ -237,7 +238,8 @@ def sentencepiece_encode(df: DataFrame, id_col: str = "doc_id", text_col: str =
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [np.array(pieces.encode(t), dtype=np.int32) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), *part.columns[2:]], names=[f.name for f in done.fields])
+                texts = [pa.array([pieces.decode(x.tolist()) for x in ids], pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), *texts, *part.columns[2:]], names=[f.name for f in done.fields])
 
     small = source.where(F.length("text") < giant).mapInArrow(whole, done)
     # Giants: their key is a hash of id and text, so that rows alike share a result.
@@ -282,8 +284,9 @@ def sentencepiece_encode(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     traced = chunks.join(states, ["k", "c"]).select("k", "c", "lo", "hi", "off", "part", "a", "b").mapInArrow(backtrace, traced_schema)
     joined = traced.groupBy("k").agg(F.flatten(F.array_sort(F.collect_list(F.struct("c", "ids")))["ids"]).alias("pieces"))
-    giants = large.drop("text").join(joined, "k").select("id", "pieces", *(["carry"] if carry else []))
-    return small.unionByName(giants).select(F.col("id").alias(id_col), "pieces", *[F.col(f"carry.{c}").alias(c) for c in carry])
+    decoded = [sentencepiece_decode(F.col("pieces"), model).alias("decoded")] if decode else []
+    giants = large.drop("text").join(joined, "k").select("id", "pieces", *decoded, *(["carry"] if carry else []))
+    return small.unionByName(giants).select(F.col("id").alias(id_col), "pieces", *(["decoded"] if decode else []), *[F.col(f"carry.{c}").alias(c) for c in carry])
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:

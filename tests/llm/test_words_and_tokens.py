@@ -148,10 +148,10 @@ def test_encode_and_decode_rows(spark):
     giant = "".join(rng.choice(["th", "e", "in", "g", "word"]) for _ in range(400))  # no space: boundaries cut words
     texts = [*TEXTS, giant, giant[:300] + " " + giant + "  " + giant[50:]]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(len(texts) - 2, giant, "y")], "doc_id long, text string, pieces string")
-    coded = scan.sentencepiece_encode(df, giant=200, chunk=60, carry=("text",))
+    coded = scan.sentencepiece_encode(df, giant=200, chunk=60, carry=("text",), decode=True)
     got = coded.withColumn("back", scan.sentencepiece_decode(coded["pieces"])).collect()
     assert len(got) == len(texts) + 1
     sp = codec(vocabulary()).sp
     for r in got:
         assert r["pieces"] == sp.encode(r["text"] or "")
-        assert r["back"] == (r["text"] or "").replace("▁", " ")
+        assert r["back"] == r["decoded"] == (r["text"] or "").replace("▁", " ")
