@@ -370,14 +370,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), e AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
 ), s AS (
-  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM d WHERE len(w) >= 20
+  SELECT doc_id, p, string_agg(word, ' ') OVER t AS text, count(*) OVER t AS n FROM e
+  WINDOW t AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
 ), g AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY list_slice(w, i, i + 19) ORDER BY doc_id, i) AS r FROM s
+  SELECT doc_id, p, row_number() OVER (PARTITION BY text ORDER BY doc_id, p) AS r FROM s WHERE n = 20
 ), c AS (
-  SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS p FROM g WHERE r > 1
-), e AS (
-  SELECT d.doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+  SELECT DISTINCT doc_id, p + unnest(range(0, 20)) AS p FROM g WHERE r > 1
 ), k AS (
   SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.p) AS kept FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id
 )
