@@ -40,19 +40,21 @@ def template_words(text: Column) -> Column:
 
 def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """(id, at, h, slots, n): hashed template windows, the values of their placeholders, and the windows of the text."""
-    w = df.select(df[id_col].alias("id"), template_words(df[text_col]).alias("words")).where(F.size("words") >= width)
+    # No filter on the words: it would be pushed below and have the templates made twice.
+    w = df.select(df[id_col].alias("id"), template_words(df[text_col]).alias("words"))
     w = w.withColumn("canon", F.transform("words", lambda x: F.when(x.startswith(MARK), F.substring(x, 1, 2)).otherwise(x)))
     w = w.withColumn("marked", F.exists("words", lambda x: x.startswith(MARK)))
     n = F.size("words") - (width - 1)
     none = F.array().cast("array<string>")
     made = F.transform(
-        F.sequence(F.lit(1), n),
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
         lambda i: F.struct(
             i.alias("at"),
             F.xxhash64(F.slice("canon", i, width)).alias("h"),
             F.when(F.col("marked"), F.filter(F.slice("words", i, width), lambda x: x.startswith(MARK))).otherwise(none).alias("slots"),
         ),
     )
+    made = F.when(n >= 1, made)  # texts with fewer words give no row
     return w.select("id", n.alias("n"), F.explode(made).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots"), "n")
 
 
