@@ -2,7 +2,9 @@ r"""Operator 10: benchmark decontamination by canonical templates, with DataFram
 
 Numbers, names (capitalised words inside a sentence) and units (after a number) become typed placeholders;
 punctuation goes and the rest is lower-cased, so a re-parameterised question has the template of the
-original. Windows of WIDTH template words are hashed and joined with those of the benchmark. Matches are
+original. Windows of WIDTH template words are hashed and joined with those of the benchmark. A window with
+names is also hashed with the lower-cased words in their places, on both sides: letter case says what a name
+is, so a copy in capitals, in title case or without any has other names but the same folded windows. Matches are
 gathered by document, item and shift; a shift counts if its slots are consistent: each value of the item
 stands for one value of the document. A document is contaminated by an item if the consistent windows are
 half of the item's, or LEAST_WINDOWS of them.
@@ -26,6 +28,7 @@ SHARE, LEAST_WINDOWS = 0.5, 8
 BROADCAST_WINDOWS = 500_000
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd yards l ml litres liters h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years dollars euros pounds cents percent usd eur gbp degrees mph kmh".split()
 MARK = "\u0001"
+NAME = MARK + "a"  # of words, which are lower-cased
 
 
 def template_words(text: Column) -> Column:
@@ -33,13 +36,18 @@ def template_words(text: Column) -> Column:
     x = F.regexp_replace(text, MARK, " ")
     x = F.regexp_replace(x, r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{L}\p{N}'’-]*", MARK + "A$0")
     x = F.regexp_replace(x, r"(?<![\p{L}\p{N}" + MARK + r"])[-+]?[0-9]+(?:[.,][0-9]+)*", MARK + "N$0 ")
-    x = F.regexp_replace(x, "(" + MARK + r"N\S+\s+)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", "$1" + MARK + "U$2")
+    # A unit in capitals has been taken for a name.
+    x = F.regexp_replace(x, "(" + MARK + r"N\S+\s+)(?:" + MARK + "A)?((?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"))(?![\p{L}\p{N}])", "$1" + MARK + "U$2")
     x = F.regexp_replace(x, r"(?<![0-9])[^\p{L}\p{N}\s" + MARK + r"]+|[^\p{L}\p{N}\s" + MARK + r"]+(?![0-9])", " ")
-    return F.filter(F.split(F.lower(x), r"\s+", -1), lambda w: w != "")
+    # ß is SS in capitals. (The optimiser makes lower(upper(x)) lower(x).)
+    return F.filter(F.split(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), r"\s+", -1), lambda w: w != "")
 
 
 def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(id, at, h, slots, n): hashed template windows, the values of their placeholders, and the windows of the text."""
+    """(id, at, h, slots, n): hashed template windows, the values of their placeholders, and the windows of the text.
+
+    A window with names gives a second row, whose hash has the names' words and whose slots have no names.
+    """
     # No filter on the words: it would be pushed below and have the templates made twice.
     w = df.select(df[id_col].alias("id"), template_words(df[text_col]).alias("words"))
     w = w.withColumn("canon", F.transform("words", lambda x: F.when(x.startswith(MARK), F.substring(x, 1, 2)).otherwise(x)))
@@ -54,7 +62,17 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WID
             F.when(F.col("marked"), F.filter(F.slice("words", i, width), lambda x: x.startswith(MARK))).otherwise(none).alias("slots"),
         ),
     )
-    made = F.when(n >= 1, made)  # texts with fewer words give no row
+    # The names' places give the windows to fold, so that texts of few names cost little.
+    places = F.array_compact(F.transform("words", lambda x, k: F.when(x.startswith(NAME), F.sequence(F.greatest(k + 2 - width, F.lit(1)), F.least(k + 1, n)))))
+    folded = F.transform(
+        F.array_distinct(F.flatten(places)),
+        lambda i: F.struct(
+            i.alias("at"),
+            F.xxhash64(F.transform(F.slice("words", i, width), lambda x: F.when(x.startswith(NAME), F.substring(x, 3, 1 << 30)).when(x.startswith(MARK), F.substring(x, 1, 2)).otherwise(x))).alias("h"),
+            F.filter(F.slice("words", i, width), lambda x: x.startswith(MARK) & ~x.startswith(NAME)).alias("slots"),
+        ),
+    )
+    made = F.when(n >= 1, F.when(F.col("marked"), F.concat(made, folded)).otherwise(made))  # texts with fewer words give no row
     return w.select("id", n.alias("n"), F.explode(made).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots"), "n")
 
 

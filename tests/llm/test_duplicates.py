@@ -236,3 +236,16 @@ def test_inconsistent_slots_are_no_match(spark):
     assert [(r["doc_id"], r["changed_slots"]) for r in got] == [(1, True)]
 
 
+
+
+def test_copies_in_another_case(spark):
+    filler = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
+    train = BENCH[0][1]
+    other = train.replace("120 km", "95 miles").replace("2 hours", "3 hours")
+    cases = [str.upper, str.lower, str.title, str.swapcase]
+    bench = [BENCH[0], (2, BENCH[1][1].replace("small", "große")), *BENCH[2:]]
+    docs = [(10 * j + k, f"{filler}. {case(item)}. {filler}") for j, item in enumerate([train, bench[1][1], other]) for k, case in enumerate(cases)]
+    df = spark.createDataFrame([*docs, (90, filler.upper() * 3), (91, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert set(got) == {(k, 1 if k // 10 != 1 else 2) for k, _ in docs}
+    assert all(r["changed_slots"] == (k >= 20) and r["n_matched"] == r["n_windows"] for (k, _), r in got.items())
