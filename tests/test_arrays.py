@@ -106,3 +106,15 @@ def test_safe_products():
         shapes.safe_product([1 << 40, 1 << 40])
     with pytest.raises(ValueError):
         shapes.safe_product([-1])
+
+
+@pytest.mark.parametrize("name", ["bf16_round_trip", "f8_round_trip"])
+def test_round_trips_take_all_rows(spark, tmp_path, name):
+    from lattica.plans import registry, value_queries  # noqa: F401
+
+    n = 1203
+    spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.lit(-2.0)).cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r["i0"], r["i1"]) for r in got) == [(a, b) for a in range(n) for b in range(2)]
+    columns = ["value"] if name[0] == "b" else ["e4m3", "e5m2"]
+    assert all(r[c] == (0.5, -2.0)[r["i1"]] for r in got for c in columns)
