@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.tables import table  # noqa: F401 (the operators take it from here)
+from ..session import durable, stored  # noqa: F401
 
 #: The separators of words: ``[\x20\x09-\x0D]``.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -14,26 +16,16 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Ids of at most this many documents are broadcast; more meet the documents in a shuffle.
+BROADCAST_IDS = 1_000_000
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the folder that the session names.
 
-    The folder is ``spark.checkpoint.dir``. Where that is unset the session must be local; it then
-    gets a temporary folder. On a cluster an unset folder is an error, for executors don't share a local one.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="lattica-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose ids (null is one) are not among the ``ids`` (one column)."""
+    gone = durable(ids.toDF("gone_id").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
