@@ -3,13 +3,16 @@
 For byte-pair encoding with ranked merges, a sequence of tokens is the encoding of its bytes if and only if
 each two neighbours are the encoding of their own bytes. So the last token of the encoding of a prefix is
 the one token that ends there and fits the last token of the prefix before it, and
-``count[i] = count[i - len(last[i])] + 1``. One pass over a word gives the count of each of its prefixes;
-sums over the words before it give the counts of the text's prefixes. Truncation and budget questions are
-then lookups: nothing is encoded again.
+``count[i] = count[i - len(last[i])] + 1``. One pass over a word gives the count of each of its prefixes, which
+are kept; sums over the words before it give the counts of the text's prefixes. Truncation and budget questions
+are then lookups: nothing is encoded again.
+
+Texts are cut into segments at spaces that the splitter never crosses; distinct segments of a slice are counted
+once, and the sums over segments are array operations.
 
 Cases: a null text is empty, with no bytes and no tokens. Strings of special tokens inside a text are that
 token, as the library has it by default. Repeated rows stay; extra columns are not read; an empty table
-gives an empty result.
+gives an empty result. A very long text is a slice of its own, its prefix table too.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import batch_of
 from .pieces import vocabulary
+from .segments import after_white, by_text, flat_binary, plain_of, segments, slices, white_cuts
 from .shapes import with_id
 
 #: How this vocabulary's pre-tokeniser splits, and what it does to bytes.
@@ -36,7 +41,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: The same for texts without characters from U+0250 on, where the classes are short: faster.
 _LETTER, _NUMBER, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 SPLIT_LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WHITE}{_LETTER}{_NUMBER}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 CACHE_LONGEST = 40
 
 
@@ -49,6 +54,9 @@ def byte_alphabet() -> dict[str, int]:
 
 _BASE = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
+_SPREAD, SLOT_BITS = np.uint64(0xC2B2AE3D27D4EB4F), 20
+#: Segments that are split at once, words that are learned at once.
+BLOCK, LEARN_AT_ONCE = 64, 20_000
 _POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(CACHE_LONGEST * 4 + 2)], dtype=np.uint64)
 
 
@@ -81,6 +89,11 @@ class PrefixCounter:
         self.hash_ids = np.array([k for _, k in by_hash], dtype=np.int64)
         if len(np.unique(self.hashes)) < len(ranks):
             raise ValueError("two tokens share a hash")
+        #: Where a token's hash stands, by some bits of it; -1: no token, -2: several.
+        slot = (self.hashes * _SPREAD) >> np.uint64(64 - SLOT_BITS)
+        self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[np.flatnonzero(np.bincount(slot.astype(np.int64), minlength=1 << SLOT_BITS) > 1)] = -2
         self.by_id = {k: t for t, k in ranks.items()}
         self.wholes = None
         self.pair_encoder = tiktoken.Encoding("pairs", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -90,10 +103,15 @@ class PrefixCounter:
         self.own_cache: dict[bytes, bool] = {}
         #: Tokens of words; a special token is never a word, so it has its place here too.
         self.cache: dict[str, int] = dict.fromkeys(self.specials, 1)
+        #: Counts at the byte prefixes of words, from the first byte on; a byte each.
+        self.prefixes: dict[str, bytes] = {}
+        #: The last word that is not kept, and its counts.
+        self.last_long: tuple[str | None, list[int]] = (None, [])
 
     def _forget(self) -> None:
         self.cache.clear()
         self.cache.update(dict.fromkeys(self.specials, 1))
+        self.prefixes.clear()
 
     def words(self, text: str) -> list[str]:
         return (self._split if self._beyond.search(text) else self._split_latin).findall(text)
@@ -130,9 +148,27 @@ class PrefixCounter:
                 raise ValueError("no token fits")
         return count
 
+    def _tokens_of(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the tokens that have hashes; -1 for none."""
+        at = self.slots[(h * _SPREAD) >> np.uint64(64 - SLOT_BITS)]
+        some = np.flatnonzero(at != -1)
+        place = at[some]
+        shared = np.flatnonzero(place == -2)  # slots of several tokens
+        place[shared] = np.minimum(np.searchsorted(self.hashes, h[some[shared]]), len(self.hashes) - 1)
+        out = np.full(len(h), -1, dtype=np.int64)
+        out[some] = np.where(self.hashes[place] == h[some], self.hash_ids[place], -1)
+        return out
+
     def learn(self, words: list[str]) -> None:
-        """Put the counts of many words into the cache: the same programme as :meth:`word_prefixes`, over all words at once."""
+        """Put the counts of many words and of their prefixes into the cache: the same programme as :meth:`word_prefixes`, over all words at once."""
+        if len(self.cache) + len(words) > CACHE_ENTRIES:
+            self._forget()
         data = [w.encode("utf-8", "surrogatepass") for w in words]
+        order = sorted(range(len(words)), key=lambda k: len(data[k]))
+        for a in range(0, len(order), LEARN_AT_ONCE):
+            self._learn([words[k] for k in order[a : a + LEARN_AT_ONCE]], [data[k] for k in order[a : a + LEARN_AT_ONCE]])
+
+    def _learn(self, words: list[str], data: list[bytes]) -> None:
         n, most = len(data), max(map(len, data))
         size = np.fromiter(map(len, data), dtype=np.int64, count=n)
         grid = np.frombuffer(b"".join(d.ljust(most, b"\0") for d in data), dtype=np.uint8).reshape(n, most)
@@ -142,35 +178,36 @@ class PrefixCounter:
         if self.wholes is None:
             self.wholes = np.zeros(len(self.ids), dtype=bool)
             self.wholes[[k for t, k in self.ids.items() if self.whole(t)]] = True
-        last, count = np.zeros((most + 1, n), dtype=np.int64), np.zeros((most + 1, n), dtype=np.int64)
+        last, count = np.zeros((most + 1, n), dtype=np.int32), np.zeros((most + 1, n), dtype=np.int32)
+        by_id, fits = self.by_id, self.fits
         for i in range(1, most + 1):
             open_ = np.flatnonzero(size >= i)
             for s in range(max(0, i - self.longest), i):
                 if not len(open_):
                     break
-                sub = h[i, open_] - h[s, open_] * _POWERS[i - s]
-                at = np.minimum(np.searchsorted(self.hashes, sub), len(self.hashes) - 1)
-                is_token = self.hashes[at] == sub
-                rows, token = open_[is_token], self.hash_ids[at[is_token]]
-                if not len(rows):
+                token = self._tokens_of(h[i, open_] - h[s, open_] * _POWERS[i - s])
+                found = np.flatnonzero(token >= 0)
+                if not len(found):
                     continue
+                token = token[found]
                 if s == 0:
                     good = self.wholes[token]
                 else:
-                    pairs, back = np.unique(last[s, rows] << 32 | token, return_inverse=True)
-                    by_id, fits = self.by_id, self.fits
+                    pairs, back = np.unique(last[s, open_[found]].astype(np.int64) << 32 | token, return_inverse=True)
                     good = np.fromiter((fits(by_id[p >> 32], by_id[p & 0xFFFFFFFF]) for p in pairs.tolist()), dtype=bool, count=len(pairs))[back]
-                rows, token = rows[good], token[good]
+                found, token = found[good], token[good]
+                rows = open_[found]
                 last[i, rows] = token
                 count[i, rows] = count[s, rows] + 1
-                done = np.zeros(n, dtype=bool)
-                done[rows] = True
-                open_ = open_[~done[open_]]
+                left = np.ones(len(open_), dtype=bool)
+                left[found] = False
+                open_ = open_[left]
             if len(open_):
                 raise ValueError("no token fits")
-        if len(self.cache) + n > CACHE_ENTRIES:
-            self._forget()
         self.cache.update(zip(words, count[size, np.arange(n)].tolist(), strict=True))
+        if most < 256:
+            rows = np.ascontiguousarray(count[1:].T.astype(np.uint8)).tobytes()
+            self.prefixes.update((w, rows[k * most : k * most + m]) for k, (w, m) in enumerate(zip(words, size.tolist(), strict=True)))
 
     def counts(self, words: list[str]) -> list[int]:
         found = list(map(self.cache.get, words))
@@ -183,10 +220,19 @@ class PrefixCounter:
             found = [rest[w] if c is None else c for w, c in zip(words, found, strict=True)]
         return found
 
+    def known_prefixes(self, word: str) -> list[int]:
+        """Counts of all byte prefixes of a word, from the empty one on; looked up where they are kept."""
+        kept = self.prefixes.get(word)
+        if kept is not None:
+            return [0, *kept]
+        if self.last_long[0] != word:
+            self.last_long = (word, self.word_prefixes(word.encode("utf-8", "surrogatepass")))
+        return self.last_long[1]
+
     def word_count(self, word: str) -> int:
         known = self.cache.get(word)
         if known is None:
-            known = self.word_prefixes(word.encode("utf-8", "surrogatepass"))[-1]
+            known = self.known_prefixes(word)[-1]
             if len(word) <= CACHE_LONGEST:
                 if len(self.cache) > CACHE_ENTRIES:
                     self._forget()
@@ -212,18 +258,41 @@ class PrefixCounter:
     def text_count(self, text: str) -> int:
         return sum(self.counts(self.pieces(text)))
 
-    def measure(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
-        """Tokens of each text and the code points of its longest prefix within the limit."""
-        words = [self.pieces(t) for t in texts]
-        all_counts = self.counts(list(chain.from_iterable(words)))
-        out, at = [], 0
-        for text, ws in zip(texts, words, strict=True):
-            counts = all_counts[at : at + len(ws)]
-            at += len(ws)
-            n = sum(counts)
-            out.append((n, len(text) if n <= limit else self._cut(ws, counts, limit)))
+    def segment_counts(self, found: pa.Array) -> np.ndarray:
+        """Tokens of segments (binary) that stand alone.
+
+        Segments that begin with a space and end in no white space may stand one after the other: they are split into words in blocks.
+        """
+        data, offsets = flat_binary(found)
+        out = np.zeros(len(found), dtype=np.int64)
+        if not len(found):
+            return out
+        joins = (data[offsets[:-1]] == 32) & ~after_white(data, offsets[1:])
+        for special in self.specials:
+            joins &= ~pc.match_substring(found, special).to_numpy(zero_copy_only=False)
+        data, offsets = flat_binary(found.filter(pa.array(joins)))
+        words = []
+        for a in range(0, len(offsets) - 1, BLOCK):
+            part = offsets[a : a + BLOCK + 1]
+            words += self.words(data[part[0] : part[-1]].tobytes().decode())
+        counts = np.concatenate(([0], np.cumsum(self.counts(words)))) if words else np.zeros(1, dtype=np.int64)
+        # Where each segment's last word ends, in code points of all blocks.
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets[1:]]
+        at = np.searchsorted(np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words))), chars) + 1
+        out[joins] = np.diff(counts[at], prepend=0)
+        rest = found.filter(pa.array(~joins)).to_pylist()
+        words = [self.pieces(x.decode("utf-8", "replace")) for x in rest]
+        counts = np.array(self.counts(list(chain.from_iterable(words))), dtype=np.int64)
+        out[~joins] = by_text(counts, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
         return out
 
+    def table_of(self, column: pa.Array) -> PrefixTable:
+        return PrefixTable(self, column)
+
+    def cut(self, text: str, budget: int) -> int:
+        """Code points of the longest prefix with at most budget tokens."""
+        return self.table_of(pa.array([text], pa.string())).longest(0, budget)
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for each i from 0 to len(text), as the encoding of that prefix alone has them."""
         words = self.pieces(text)
@@ -246,9 +315,8 @@ class PrefixCounter:
             start, base = self._fresh(words, k, before)
             left = "".join(words[start:k])
             return [base + self.text_count(left + w[:j]) for j in range(1, len(w))] + [before + 1]
-        data = w.encode("utf-8", "surrogatepass")
-        counts = self.word_prefixes(data)
-        at = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in w])
+        counts = self.known_prefixes(w)
+        at = range(1, len(w) + 1) if w.isascii() else np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in w]).tolist()
         out = [before + counts[i] for i in at]
         if w[0] == "'" and len(w) > 2 and w[1].isalpha():
             out[1] = before + self.word_count("'") + self.word_count(w[1])
@@ -268,10 +336,6 @@ class PrefixCounter:
             before -= self.word_count(words[start])
         return start, before
 
-    def cut(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix with at most budget tokens."""
-        return self.measure([text], budget)[0][1]
-
     def _cut(self, words: list[str], counts: list[int], budget: int) -> int:
         before = [0, *accumulate(counts)]
         k = bisect_right(before, budget) - 1
@@ -285,24 +349,79 @@ class PrefixCounter:
         return best
 
 
+class PrefixTable:
+    """The counts at all segment ends of some texts, as prefix sums; places between are looked up in the words around them."""
+
+    #: Segments before and after a place that decide about it: a splitter looks no further than white space.
+    AROUND = 3
+
+    def __init__(self, counter_: PrefixCounter, column: pa.Array):
+        self.counter = counter_
+        t = plain_of(column)
+        cuts = white_cuts(t)
+        index, found, self.n_segments = segments(t, cuts)
+        self.segs, self.index = found, index
+        sizes = self.counter.segment_counts(found)
+        self.tokens = np.concatenate(([0], np.cumsum(sizes[index])))
+        data = (t.data & 0xC0) != 0x80
+        chars = np.add.reduceat(data, cuts, dtype=np.int64) if len(cuts) else np.zeros(0, dtype=np.int64)
+        self.chars = np.concatenate(([0], np.cumsum(chars)))
+        self.ends = np.cumsum(self.n_segments)
+        self.firsts = self.ends - self.n_segments
+        self.n_bytes = np.diff(t.offsets)
+        self.n_chars = self.chars[self.ends] - self.chars[self.firsts]
+        self.n_tokens = self.tokens[self.ends] - self.tokens[self.firsts]
+        self.last: tuple = (None, None, [])
+
+    def _around(self, d: int, k: int) -> tuple[list[str], int, int]:
+        """The words of the segments around segment k of text d, and the tokens and code points of the text before them."""
+        a, b = max(int(self.firsts[d]), k - self.AROUND), min(int(self.ends[d]), k + self.AROUND + 1)
+        words = self.counter.pieces(b"".join([self.segs[i].as_py() for i in self.index[a:b].tolist()]).decode("utf-8", "replace"))
+        return words, int(self.tokens[a] - self.tokens[self.firsts[d]]), int(self.chars[a] - self.chars[self.firsts[d]])
+
+    def at(self, d: int, place: int) -> int:
+        """Tokens of the first ``place`` code points of text d, as their encoding alone has them."""
+        if place <= 0 or place >= self.n_chars[d]:
+            return int(self.n_tokens[d]) if place > 0 else 0
+        k = int(np.searchsorted(self.chars, self.chars[self.firsts[d]] + place, side="left")) - 1
+        words, before, at = self._around(d, k)
+        counts = self.counter.counts(words)
+        for j, w in enumerate(words):
+            if place <= at + len(w):
+                if self.last[:2] != (d, at):  # places of one long word are often asked for one after the other
+                    self.last = (d, at, self.counter.tail_counts(words, j, before))
+                return self.last[2][place - at - 1]
+            at, before = at + len(w), before + counts[j]
+        raise ValueError("the place is beyond the text")
+
+    def longest(self, d: int, budget: int) -> int:
+        """Code points of the longest prefix of text d with at most budget tokens."""
+        if self.n_tokens[d] <= budget:
+            return int(self.n_chars[d])
+        # The first segment that ends beyond the budget; what fits ends in it, or in white space that the next ones still join.
+        k = int(np.searchsorted(self.tokens, self.tokens[self.firsts[d]] + budget, side="right")) - 1
+        words, before, at = self._around(d, k)
+        return at + self.counter._cut(words, self.counter.counts(words), budget - before)
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, vocabulary_file: str | None = None) -> DataFrame:
-    """Bytes and tokens of each text, whether it is over the limit, and the code points of its longest prefix within the limit."""
-    out, schema = with_id(df, id_col, "n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, every: int = 2048, vocabulary_file: str | None = None) -> DataFrame:
+    """Bytes and tokens of each text, whether it is over the limit, the code points of its longest prefix within the limit
+    (``fits_chars``), and the exact counts of its first every, 2 * every, ... code points (``tokens_at``)."""
+    out, schema = with_id(df, id_col, "n_bytes long, n_tokens long, over_limit boolean, fits_chars long, tokens_at array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary_file or vocabulary("byte_bpe_50k.json"))
         for batch in batches:
-            rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k in range(0, len(texts), 256):
-                part = texts[k : k + 256]
-                rows += [(len(t.encode("utf-8", "surrogatepass")), n, n > limit, fits) for t, (n, fits) in zip(part, count.measure(part, limit), strict=True)]
-            yield batch_of(schema, [batch.column(0), *(zip(*rows, strict=True) if rows else [[]] * 4)])
+            for at, n in slices(batch.column(1)):
+                t = count.table_of(batch.column(1).slice(at, n))
+                fits = [t.longest(d, limit) for d in range(n)]
+                marks = [[t.at(d, k) for k in range(every, int(t.n_chars[d]) + 1, every)] for d in range(n)]
+                yield batch_of(schema, [batch.column(0).slice(at, n), t.n_bytes, t.n_tokens, t.n_tokens > limit, fits, marks])
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, out)
 
@@ -314,7 +433,8 @@ def prefix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary_file or vocabulary("byte_bpe_50k.json"))
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                yield batch_of(schema, [batch.column(0).slice(k, 1), [count.prefix_counts(text or "").tolist()]])
+            for at, n in slices(batch.column(1), 1 << 18):
+                texts = batch.column(1).slice(at, n).to_pylist()
+                yield batch_of(schema, [batch.column(0).slice(at, n), pa.array([count.prefix_counts(text or "") for text in texts], pa.list_(pa.int64()))])
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, out)
