@@ -4,16 +4,20 @@ A turn is written ``<|im_start|>role\ntext<|im_end|>\n``. Inside roles and texts
 ``<|`` becomes ``<\p`` (in roles a line feed also becomes ``\n``), so no text holds a control string, and
 undoing the three replacements in the other order gives the text back.
 
-Prefix sums of turn tokens place each turn in the span floor(tokens before it / room), so spans are whole
-turns in order; a turn longer than the room has a span of its own or ends one. Each span gives one window:
-the system turn (if the conversation starts with one), the turns before the span that start within
-``history`` tokens of it, then the span's turns. The repeated turns are masked; assistant texts among the
-span's own turns are the loss targets, so that each is a target once. history < room, hence a turn repeats
-in the next window at most (the system turn: in each).
+Prefix sums of turn tokens choose the spans, which are whole turns in order. ``room`` is the budget without the
+system turn and the history. A turn longer than half the room is a span of its own. The turns between two such
+are dealt by their prefix sum to cells of ``room`` less the longest of them, so that a cell's turns fit the room.
+Each span gives one window: the system turn (if the conversation starts with one), the last turns of the span
+before (whole turns, as many as fit ``history`` and what the budget leaves), then the span's own turns. A window
+is over the budget only if its one own turn does not fit beside the system turn. Repeated turns are masked;
+assistant texts among the span's own turns are the loss targets, so that each is a target once.
+
+All of this is window functions over a conversation in order, which keep a row at a time, and over spans.
 
 Cases: null texts and roles are empty. Null turns come first; rows with one turn number are ordered by role
-and text, repeated rows stay. A null conversation id is a conversation. An empty table gives no windows.
-Extra columns are not read. A conversation is one row where its digest is made, since SHA-256 reads it in order.
+and text, repeated rows stay. A null conversation id is a conversation. Null tokens count as none. An empty
+table gives no windows. Extra columns are not read. A conversation is one row where its digest is made, since
+SHA-256 reads it in order.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-BUDGET, HISTORY = 2048, 256
+BUDGET, HISTORY = 4096, 512
 
 
 def escape(text: Column) -> Column:
@@ -41,52 +45,59 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
 
 
-def default_tokens(text: Column) -> Column:
-    """An upper estimate of a turn's tokens without a vocabulary: a token for each four bytes begun, and four for the marks."""
-    return (F.floor((F.octet_length(text) + 3) / 4) + 4).cast("long")
-
-
 def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens_col: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conversation, window number, formatted text, how many of its turns are repeated, loss spans.
+    """One row per window: conversation, window (the seat of its first own turn that is no system turn), formatted text, how many of its
+    turns are repeated, its tokens, loss spans.
 
-    tokens_col: a column with the tokens of each turn; without it :func:`default_tokens`.
-    loss: array of (start, length) in code points of the formatted text.
+    tokens_col: a column with the tokens of each formatted turn; without it a turn counts its UTF-8 bytes, which no byte-level
+    vocabulary exceeds. loss: array of (start, length) in code points of the formatted text.
     """
-    room = budget - history
-    if not 0 <= history < room:
-        raise ValueError("history must be less than the rest of the budget")
+    if not 0 <= history < budget:
+        raise ValueError("history must be less than the budget")
     t = turns.select(
         turns[conv_col].alias("c"), turns[turn_col].alias("t"), F.coalesce(turns[role_col], F.lit("")).alias("r"), F.coalesce(turns[text_col], F.lit("")).alias("x"),
         *([F.coalesce(turns[tokens_col], F.lit(0)).cast("long").alias("k")] if tokens_col else []),
     )
+    t = t.withColumn("role", escape_role(F.col("r"))).withColumn("body", escape(F.col("x")))
+    t = t.withColumn("piece", F.concat(F.lit(START), "role", F.lit("\n"), "body", F.lit(END + "\n")))
     if not tokens_col:
-        t = t.withColumn("k", default_tokens(F.col("x")))
+        t = t.withColumn("k", F.octet_length("piece").cast("long"))
     order = Window.partitionBy("c").orderBy("t", "r", "x")
-    t = t.withColumn("at", F.row_number().over(order)).withColumn("before", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    t = t.withColumn("before", F.coalesce("before", F.lit(0))).withColumn("span", F.floor(F.col("before") / room))
-    # The next span's number and where it starts: the first turn after this one that is in another span.
-    later = Window.partitionBy("c").orderBy("span")
-    t = t.withColumn("next_span", F.min("span").over(later.rangeBetween(1, Window.unboundedFollowing)))
-    t = t.withColumn("next_before", F.min("before").over(later.rangeBetween(1, Window.unboundedFollowing)))
-    system = (F.col("at") == 1) & (F.col("r") == "system")
-    all_spans = F.collect_set("span").over(Window.partitionBy("c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    own = F.array(F.struct(F.col("span").alias("w"), F.lit(False).alias("again")))
-    repeated = F.when(F.col("next_before") - F.col("before") <= history, F.array(F.struct(F.col("next_span").alias("w"), F.lit(True).alias("again")))).otherwise(F.array().cast("array<struct<w:bigint,again:boolean>>"))
-    t = t.withColumn("spans", F.when(system, all_spans))
-    kept = F.transform(F.array_except("spans", F.array("span")), lambda s: F.struct(s.alias("w"), F.lit(True).alias("again")))
-    t = t.withColumn("uses", F.when(system, F.concat(own, kept)).otherwise(F.concat(own, repeated)))
-    piece = F.concat(F.lit(START), escape_role(F.col("r")), F.lit("\n"), escape(F.col("x")), F.lit(END + "\n"))
-    t = t.withColumn("piece", piece).withColumn("head", F.length(escape_role(F.col("r"))) + len(START) + 1).withColumn("body", F.length(escape(F.col("x"))))
-    used = t.select("c", "at", "piece", "head", "body", (F.col("r") == "assistant").alias("target"), F.explode("uses").alias("u"))
-    used = used.select("c", F.col("u.w").alias("w"), "at", "piece", "head", "body", F.col("u.again").alias("again"), (F.col("target") & ~F.col("u.again")).alias("loss"))
+    one = F.struct("piece", (F.length("role") + len(START) + 1).alias("head"), F.length("body").alias("body"), "k")
+    t = t.select("c", "t", "r", "x", "k", one.alias("one"), (F.col("r") == "assistant").alias("target"))
+    t = t.withColumn("at", F.row_number().over(order)).withColumn("system", F.first(F.when(F.col("r") == "system", F.col("one"))).over(order))
+    lead = (F.col("at") == 1) & F.col("system").isNotNull()
+    t = t.withColumn("own", F.when(lead, F.lit(0)).otherwise(F.col("k")))
+    t = t.withColumn("before", F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own"))
+    t = t.withColumn("left", budget - F.coalesce("system.k", F.lit(0))).withColumn("room", F.greatest(F.col("left") - history, F.lit(1)))
+    t = t.withColumn("large", 2 * F.col("own") > F.col("room")).withColumn("run", F.sum(F.col("large").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("c", "run")
+    small = ~F.col("large") & ~lead
+    cell = F.col("room") - F.max(F.when(small, F.col("own"))).over(run)
+    t = t.withColumn("cell", F.when(small, F.floor((F.col("before") - F.min(F.when(small, F.col("before"))).over(run)) / cell)).otherwise(-1))
+    # The first turn after the system turn begins a span, which the system turn belongs to.
+    begins = F.min("at").over(Window.partitionBy("c", "run", "cell"))
+    t = t.withColumn("w", F.when(lead, F.coalesce(F.lead("at").over(order), F.col("at"))).otherwise(begins))
+    span = Window.partitionBy("c", "w")
+    t = t.withColumn("size", F.sum("own").over(span)).withColumn("end", F.max(F.col("before") + F.col("own")).over(span))
+    t = t.withColumn("after", F.struct(F.lead("w").over(order).alias("w"), F.lead("size").over(order).alias("size"))).withColumn("next", F.max("after").over(span))
+    fits = (F.col("next.w") > F.col("w")) & ~lead & (F.col("end") - F.col("before") <= F.least(F.lit(history), F.col("left") - F.col("next.size")))
+    use = lambda w, at, one, again, target: F.struct(w.alias("w"), at.alias("at"), one.alias("one"), F.lit(again).alias("again"), target.alias("target"))
+    uses = [
+        use(F.col("w"), F.col("at"), F.col("one"), False, F.col("target")),
+        F.when(fits, use(F.col("next.w"), F.col("at"), F.col("one"), True, F.lit(False))),
+        F.when((F.col("at") == F.col("w")) & (F.col("w") > 2) & F.col("system").isNotNull(), use(F.col("w"), F.lit(1), F.col("system"), True, F.lit(False))),
+    ]
+    used = t.select("c", F.explode(F.array_compact(F.array(*uses))).alias("u")).select("c", "u.w", "u.at", "u.one", "u.again", "u.target")
     mine = Window.partitionBy("c", "w").orderBy("at")
-    used = used.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("head"))
+    used = used.withColumn("start", F.sum(F.length("one.piece")).over(mine.rowsBetween(Window.unboundedPreceding, 0)) - F.length("one.piece") + F.col("one.head"))
     grouped = used.groupBy("c", "w").agg(
-        F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"),
+        F.array_sort(F.collect_list(F.struct("at", "one.piece"))).alias("pieces"),
         F.sum(F.col("again").cast("int")).alias("repeated"),
-        F.array_sort(F.collect_list(F.when(F.col("loss"), F.struct("start", F.col("body").cast("long").alias("length"))))).alias("loss"),
+        F.sum("one.k").alias("tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("target"), F.struct("start", F.col("one.body").cast("long").alias("length"))))).alias("loss"),
     )
-    return grouped.select(F.col("c").alias(conv_col), F.col("w").alias("window"), F.array_join(F.col("pieces.piece"), "").alias("formatted"), "repeated", "loss")
+    return grouped.select(F.col("c").alias(conv_col), F.col("w").alias("window"), F.array_join(F.col("pieces.piece"), "").alias("formatted"), "repeated", "tokens", "loss")
 
 
 def read_back(formatted: Column) -> Column:
@@ -116,24 +127,31 @@ WITH turns AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), t AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x,
-    (strlen(coalesce(text, '')) + 3) // 4 + 4 AS k FROM turns
+    '{START}' || replace(replace(replace(coalesce(role, ''), '\', '\b'), '<|', '<\p'), chr(10), '\n') || chr(10)
+      || replace(replace(coalesce(text, ''), '\', '\b'), '<|', '<\p') || '{END}' || chr(10) AS piece FROM turns
 ), n AS (
-  SELECT *, row_number() OVER o AS seat,
-    coalesce(sum(k) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)
+  SELECT *, strlen(piece) AS k, length(piece) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS seat FROM t
 ), s AS (
-  SELECT *, before // {BUDGET - HISTORY} AS span,
-    {len(START) + len(END) + 2} + length(replace(replace(replace(r, '\', '\b'), '<|', '<\p'), chr(10), '\n')) + length(replace(replace(x, '\', '\b'), '<|', '<\p')) AS chars
-  FROM n
-), later AS (
-  SELECT conv_id, span, min(before) AS first_before FROM s GROUP BY conv_id, span
+  SELECT n.*, l.k AS system_k, {BUDGET} - coalesce(l.k, 0) AS remaining, greatest({BUDGET} - coalesce(l.k, 0) - {HISTORY}, 1) AS room,
+    CASE WHEN seat = 1 AND l.k IS NOT NULL THEN 0 ELSE n.k END AS own
+  FROM n LEFT JOIN (SELECT conv_id AS lc, k FROM n WHERE seat = 1 AND r = 'system') l ON n.conv_id IS NOT DISTINCT FROM l.lc
+), runs AS (
+  SELECT *, 2 * own > room AS large, coalesce(sum(own) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum((2 * own > room)::INT) OVER (o ROWS UNBOUNDED PRECEDING) AS run
+  FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY seat)
+), cells AS (
+  SELECT runs.*, CASE WHEN large THEN -1 ELSE (before - least_before) // (room - longest) END AS cell
+  FROM runs LEFT JOIN (
+    SELECT conv_id AS rc, run AS rr, min(before) AS least_before, max(own) AS longest FROM runs WHERE NOT large AND own > 0 GROUP BY conv_id, run
+  ) ON conv_id IS NOT DISTINCT FROM rc AND run = rr
+), first_seats AS (
+  SELECT *, CASE WHEN own = 0 THEN least(2, count(*) OVER (PARTITION BY conv_id)) ELSE min(seat) FILTER (own > 0) OVER (PARTITION BY conv_id, run, cell) END AS w FROM cells
 ), spans AS (
-  SELECT *, lead(first_before) OVER (PARTITION BY conv_id ORDER BY span) AS next_before,
-    count(*) OVER (PARTITION BY conv_id) AS n_spans FROM later
+  SELECT conv_id AS sc, w AS sw, sum(own) AS size, max(before + own) AS stop, lead(sum(own)) OVER (PARTITION BY conv_id ORDER BY w) AS next_size, count(*) OVER (PARTITION BY conv_id) AS n_spans
+  FROM first_seats GROUP BY conv_id, w
 ), used AS (
-  SELECT s.*, CASE WHEN seat = 1 AND r = 'system' THEN n_spans
-    WHEN next_before - before <= {HISTORY} THEN 2 ELSE 1 END AS times
-  FROM s JOIN spans ON s.conv_id IS NOT DISTINCT FROM spans.conv_id AND s.span = spans.span
+  SELECT *, CASE WHEN own = 0 THEN n_spans WHEN next_size IS NOT NULL AND stop - before <= least({HISTORY}, remaining - next_size) THEN 2 ELSE 1 END AS times
+  FROM first_seats JOIN spans ON conv_id IS NOT DISTINCT FROM sc AND w = sw
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY seat)) AS turns_sha256,
