@@ -1,10 +1,9 @@
 """Operator 5: URL rules and a list of URLs behind a blocked Bloom filter, with DataFrame functions alone.
 
 The filter has blocks of eight 64-bit words; a URL sets one bit in each word of one block. It is built by a
-partial aggregation (bit_or by block) and its size is bounded by construction: at most MAX_BLOCKS blocks, 80
-bytes each, so it may be broadcast whatever the list's size. URLs that pass it go on to an exact hash join
-with the list, which removes false positives; the others don't shuffle. A longer list than the filter is
-meant for lets more false positives through to the join, and the result stays the same.
+partial aggregation (bit_or by block) and sized from the list: BITS_PER_URL for each URL. Up to BROADCAST_BYTES
+(80 bytes a block) it is broadcast; beyond that it is joined by its blocks with a shuffle. URLs that pass it go
+on to an exact hash join with the list, which removes false positives; the others don't shuffle again.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and no listed URL, and
 is allowed. Repeated rows stay. Nulls in the list are ignored; an empty list blocks nothing. An empty table gives an
@@ -13,18 +12,19 @@ empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import durable, shuffle_partitions
 
 #: (rule, verdict): host and path prefix; the longest that fits wins.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: Query parameters that don't change what a URL names.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "ref", "fbclid", "gclid"]
-#: Names of hosts that the stand-in list of the query takes in.
-LISTED_HOSTS = ["spam-farm", "cheap-pills", "casino-win"]
-BITS_PER_URL, BLOCK_BITS, MAX_BLOCKS = 16, 512, 1 << 16
+BITS_PER_URL, BLOCK_BITS, BLOCK_BYTES, BROADCAST_BYTES = 16, 512, 80, 64 << 20
+#: The list that the query takes, stated by a rule and not by the pages: all combinations of these, with every LISTED_STEP-th number below LISTED_PAGES.
+LISTED_SUBDOMAINS, LISTED_NAMES, LISTED_ENDS = ["", "m.", "blog."], ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"], ["com", "net", "org"]
+LISTED_FOLDERS, LISTED_PAGES, LISTED_STEP = ["de", "en", "es", "fr"], 10_000, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,8 +65,8 @@ def _block(url: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(n_blocks)).cast("int")
 
 
-def blocks_for(n_urls: int, most: int = MAX_BLOCKS) -> int:
-    return max(1, min(most, -(-n_urls * BITS_PER_URL // BLOCK_BITS)))
+def blocks_for(n_urls: int) -> int:
+    return max(1, -(-n_urls * BITS_PER_URL // BLOCK_BITS))
 
 
 def bloom_filter(listed: DataFrame, url_col: str, n_blocks: int) -> DataFrame:
@@ -90,18 +90,36 @@ def listed_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
     return urls.select(canonical(urls[url_col]).alias("u")).where("u is not null").distinct()
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] | None = None, most_blocks: int = MAX_BLOCKS) -> DataFrame:
+def stated_list(spark: SparkSession) -> DataFrame:
+    """The URLs (column url) that the rule states."""
+    parts = [LISTED_SUBDOMAINS, LISTED_NAMES, LISTED_ENDS, LISTED_FOLDERS]
+    rest, picked = F.col("id"), []
+    for values in parts:
+        picked.append(F.element_at(F.array(*map(F.lit, values)), (F.pmod(rest, F.lit(len(values))) + 1).cast("int")))
+        rest = F.floor(rest / len(values))
+    sub, name, end, folder = picked
+    n = LISTED_PAGES // LISTED_STEP
+    for values in parts:
+        n *= len(values)
+    return spark.range(n).select(F.concat(F.lit("http://"), sub, name, F.lit(".example."), end, F.lit("/"), folder, F.lit("/"), (rest * LISTED_STEP).cast("string")).alias("url"))
+
+
+def url_filter(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Host, path, fitting rule and verdict of each URL; without a rule, ``block`` if its canonical form is listed, else ``allow``.
 
-    listed: column ``u`` of distinct canonical URLs (see :func:`listed_urls`). most_blocks bounds what is broadcast (80 bytes a block).
+    listed: column ``u`` of distinct canonical URLs (see :func:`listed_urls`). broadcast_bytes bounds what is broadcast.
     """
-    n_blocks = blocks_for(listed.count(), most_blocks)
+    listed = durable(listed.select("u"))
+    n_blocks = blocks_for(listed.count())
     bloom = bloom_filter(listed, "u", n_blocks)
+    if n_blocks * BLOCK_BYTES <= broadcast_bytes:
+        bloom = F.broadcast(bloom)
     host, path = host_and_path(pages[url_col])
     rule, verdict = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     p = pages.select(pages[id_col].alias("id"), canonical(pages[url_col]).alias("u"), host.alias("host"), path.alias("path"))
-    p = p.withColumn("rule", rule).withColumn("said", verdict).withColumn("block", _block(F.col("u"), n_blocks))
-    tested = p.join(F.broadcast(bloom), "block", "left").select("id", "host", "path", "rule", "said", "u", (F.col("said").isNull() & F.col("u").isNotNull() & passes(F.col("u"))).alias("hit"))
+    # URLs without a host have no block: numbers below 0, many, so that they don't meet in one task.
+    p = p.withColumn("rule", rule).withColumn("said", verdict).withColumn("block", F.coalesce(_block(F.col("u"), n_blocks), -1 - F.pmod(F.xxhash64("id"), F.lit(4096)).cast("int")))
+    tested = p.join(bloom, "block", "left").select("id", "host", "path", "rule", "said", "u", (F.col("said").isNull() & F.col("u").isNotNull() & passes(F.col("u"))).alias("hit"))
     rest = tested.where(~F.coalesce("hit", F.lit(False))).select("id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"))
     # A listed URL may be a large share of all pages: hits are spread over salts, and the list's rows that were hit go to each salt.
     salts = max(1, shuffle_partitions(pages.sparkSession) // 2)
@@ -132,7 +150,10 @@ WITH a AS (
       WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM c
-), listed AS (SELECT DISTINCT u FROM d WHERE u IS NOT NULL AND regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win)\.'))
+), listed AS (
+  SELECT s || n || '.example.' || e || '/' || f || '/' || k AS u FROM (SELECT unnest(['', 'm.', 'blog.']) AS s), (SELECT unnest(['com', 'net', 'org']) AS e),
+    (SELECT unnest(['spam-farm', 'cheap-pills', 'casino-win', 'free-bets', 'ads-track', 'adult-x']) AS n), (SELECT unnest(['de', 'en', 'es', 'fr']) AS f), range(0, 10000, 4) AS r(k)
+)
 SELECT page_id, host, path, rule,
   CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'example.org/es/' THEN 'block' WHEN 'example.org/en/1' THEN 'block'
     WHEN 'com/de/' THEN 'block' ELSE CASE WHEN listed.u IS NOT NULL THEN 'block' ELSE 'allow' END END AS verdict
