@@ -55,13 +55,22 @@ def valid_external_file(name: Column) -> Column:
     return F.coalesce((name != "") & ~name.rlike(r"(^|[/\\])\.\.([/\\]|$)") & ~name.contains(NUL), F.lit(False))
 
 
+def _decimal(n: Column, bits: int, places: int) -> Column:
+    """n / 2^bits with some decimals; the exact value is rounded, ties to the even digit."""
+    n, scale, unit = n.cast("long"), 10**places, 1 << bits
+    scaled = n.bitwiseAND(F.lit(unit - 1)) * scale
+    digits, rest = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit(unit - 1))
+    up = (rest > unit // 2) | ((rest == unit // 2) & (digits % 2 == 1))
+    value = F.shiftright(n, bits) * scale + digits + up.cast("long")
+    return F.concat(F.floor(value / F.lit(scale)).cast("string"), F.lit("."), F.lpad((value % scale).cast("string"), places, "0"))
+
+
 def format_bytes(n: Column) -> Column:
     """Binary units: one decimal, two for the largest; bytes as they are."""
-    kib, mib, gib = F.lit(1 << 10), F.lit(1 << 20), F.lit(1 << 30)
     return (
-        F.when(n >= gib, F.format_string("%.2f GB", n / gib))
-        .when(n >= mib, F.format_string("%.1f MB", n / mib))
-        .when(n >= kib, F.format_string("%.1f KB", n / kib))
+        F.when(n >= 1 << 30, F.concat(_decimal(n, 30, 2), F.lit(" GB")))
+        .when(n >= 1 << 20, F.concat(_decimal(n, 20, 1), F.lit(" MB")))
+        .when(n >= 1 << 10, F.concat(_decimal(n, 10, 1), F.lit(" KB")))
         .otherwise(F.format_string("%d B", n))
     )
 

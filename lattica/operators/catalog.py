@@ -23,16 +23,18 @@ def walk(links: DataFrame, kinds: DataFrame, root: object, most_levels: int = MO
     """(path, address, kind, depth) of all that hard links reach from the root; groups end in a slash.
 
     A group that is met again below itself is listed but not entered, so cycles end. One join a level; no
-    level is gathered on the driver.
+    level is gathered on the driver. A tree of more than ``most_levels`` levels is an error.
     """
     hard = links.where("link_type = 'hard'").select(F.col("parent").alias("from_"), "name", F.col("target").alias("to_"))
     known = hard.join(kinds.select(F.col("address").alias("to_"), "kind"), "to_")
     level = known.where(F.col("from_") == F.lit(root)).select(F.concat(F.lit("/"), "name").alias("path"), F.col("to_").alias("address"), "kind", F.array(F.col("from_")).alias("seen"))
     found, depth = None, 1
-    while depth <= most_levels:
+    while True:
         level = durable(level)
         if level.isEmpty():
             break
+        if depth > most_levels:
+            raise ValueError(f"the tree has more than {most_levels} levels")
         shown = level.select(F.when(F.col("kind") == "group", F.concat("path", F.lit("/"))).otherwise(F.col("path")).alias("path"), "address", "kind", F.lit(depth).alias("depth"))
         found = shown if found is None else found.union(shown)
         inside = level.where((F.col("kind") == "group") & ~F.array_contains("seen", F.col("address"))).select(F.col("path").alias("above"), F.col("address").alias("from_"), "seen")

@@ -6,7 +6,7 @@ Delete) and ``file_size``. The same expressions serve batch windows and streamin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -130,16 +130,27 @@ def fold_modes(us: Sequence[int], modes: Sequence[str], confidences: Sequence[fl
 
 
 def hysteresis(decisions: DataFrame, key: str = "key", config: WorkloadConfig = DEFAULT) -> DataFrame:
-    """The mode in force at each decision of a key (columns ts, seq, rule_mode, confidence): an ordered fold, key by key."""
+    """The mode in force at each decision of a key (columns ts, seq, rule_mode, confidence): an ordered fold, key by key.
+
+    A key's decisions come sorted, in batches; the fold's state goes from one batch to the next, so memory is that of a batch.
+    """
     kind = decisions.schema[key].dataType.simpleString()
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["us", "seq"])
-        modes, _ = fold_modes(part["us"].tolist(), part["rule_mode"].tolist(), part["confidence"].tolist(), config=config)
-        return pd.DataFrame({key: part[key], "seq": part["seq"], "mode": modes})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, (None, NONE)
+        for batch in batches:
+            modes: list[str] = []
+            for k, part in batch.groupby(key, sort=False, dropna=False):  # keys stand together, in the order of the batch
+                k = None if pd.isna(k) else k
+                if modes or k != at:
+                    state = (None, NONE)
+                at = k
+                own, state = fold_modes(part["us"].tolist(), part["rule_mode"].tolist(), part["confidence"].tolist(), state, config)
+                modes += own
+            yield pd.DataFrame({key: batch[key], "seq": batch["seq"], "mode": modes})
 
     rows = decisions.select(key, "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "rule_mode", "confidence")
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kind}, seq bigint, mode string")
+    return rows.repartition(key).sortWithinPartitions(key, "us", "seq").mapInPandas(fold, f"{key} {kind}, seq bigint, mode string")
 
 
 def mode_changes(modes: DataFrame, key: str = "key") -> DataFrame:

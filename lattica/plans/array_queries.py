@@ -9,7 +9,7 @@ from lattica.operators import layout
 from lattica.operators.selection import Hyperslab, hyperslab, slice_nd
 
 from .registry import query
-from .tables import DIMS, E_SQL, WIDTH, embeddings, table
+from .tables import DIMS, E_SQL, ROWS_SQL, WIDTH, embeddings, extent, table
 
 CHUNKS = (100, 10)
 SLAB = Hyperslab.of((10, 8), (25, 8), (2, 4), (1, 2))
@@ -66,10 +66,10 @@ def hyperslab_3d(spark, sf_dir):
 
 
 @query(f"""{E_SQL} SELECT i0, i1, i0 * 64 + i1 AS linear, (i0 * 64 + i1) // 640 AS a, ((i0 * 64 + i1) // 32) % 20 AS b, (i0 * 64 + i1) % 32 AS c
-FROM e WHERE i0 < 500""")
+FROM e""")
 def linear_and_back(spark, sf_dir):
     """Row-major offsets, and their coordinates in another shape."""
-    e = embeddings(spark, sf_dir).where("i0 < 500")
+    e = embeddings(spark, sf_dir)
     linear = shapes.linear_offset([F.col("i0"), F.col("i1")], DIMS)
     a, b, c = shapes.delinearise(F.col("linear"), (1 << 40, 20, 32))
     return e.select("i0", "i1", linear.alias("linear")).select("i0", "i1", "linear", a.alias("a"), b.alias("b"), c.alias("c"))
@@ -83,21 +83,20 @@ def output_sizes(spark, sf_dir):
 
 
 @query(f"""{E_SQL} SELECT i0 // 100 AS c0, i1 // 10 AS c1, count(*) AS n, min(value) AS low, max(value) AS high,
-  least(100, (SELECT max(vec_id) + 1 FROM embeddings) - (i0 // 100) * 100) AS rows, least(10, 64 - (i1 // 10) * 10) AS cols FROM e GROUP BY ALL""")
+  least(100, {ROWS_SQL} - (i0 // 100) * 100) AS rows, least(10, 64 - (i1 // 10) * 10) AS cols FROM e GROUP BY ALL""")
 def chunk_iterate(spark, sf_dir):
     """Each chunk with its shape, cut at the edges."""
     e = embeddings(spark, sf_dir)
-    dims = e.agg(F.max("i0") + 1).first()[0]
+    rows, _ = extent(spark, sf_dir)
     c = layout.with_chunks(e, CHUNKS).groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return c.withColumns({"rows": shapes.clamped(F.col("c0"), 100, dims), "cols": shapes.clamped(F.col("c1"), 10, WIDTH)})
+    return c.withColumns({"rows": shapes.clamped(F.col("c0"), 100, rows), "cols": shapes.clamped(F.col("c1"), 10, WIDTH)})
 
 
 @query(f"""{E_SQL} SELECT i0 // 100 AS c0, i1 // 10 AS c1, count(*) AS n, round(sum(CAST(value AS DOUBLE) * ((i0 % 100) * least(10, 64 - (i1 // 10) * 10) + i1 % 10)), 4) AS checksum
-FROM e WHERE i0 < 450 GROUP BY ALL""")
+FROM e GROUP BY ALL""")
 def chunk_form(spark, sf_dir):
     """Chunks as arrays in row-major order: the sum of value times place says that the order is right."""
-    e = embeddings(spark, sf_dir).where("i0 < 450")
-    c = layout.to_chunks(e, (450, WIDTH), CHUNKS)
+    c = layout.to_chunks(embeddings(spark, sf_dir), extent(spark, sf_dir), CHUNKS)
     weighted = F.aggregate(F.transform("data", lambda v, i: v.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
     return c.select("c0", "c1", F.size("data").cast("long").alias("n"), F.round(weighted, 4).alias("checksum"))
 
@@ -115,28 +114,29 @@ def chunk_grid(spark, sf_dir):
     return layout.grid(spark, DIMS, CHUNKS)
 
 
-@query(f"""{E_SQL} SELECT i0, i1, CASE WHEN (i0 // 100 + i1 // 10) % 3 = 0 THEN 0.0 ELSE value END::FLOAT AS value FROM e WHERE i0 < 500""")
+@query(f"""{E_SQL} SELECT i0, i1, CASE WHEN (i0 // 100 + i1 // 10) % 3 = 0 THEN 0.0 ELSE value END::FLOAT AS value FROM e""")
 def sparse_chunk_fill(spark, sf_dir):
     """Chunks that were never written read as the fill value."""
-    e = embeddings(spark, sf_dir).where("i0 < 500")
+    e, dims = embeddings(spark, sf_dir), extent(spark, sf_dir)
     written = layout.with_chunks(e, CHUNKS).where("(c0 + c1) % 3 <> 0").select("i0", "i1", "value")
-    cells = spark.range(500 * WIDTH).select(*[c.alias(f"i{k}") for k, c in enumerate(shapes.delinearise(F.col("id"), DIMS))])
+    cells = spark.range(shapes.safe_product(dims)).select(*[c.alias(f"i{k}") for k, c in enumerate(shapes.delinearise(F.col("id"), dims))])
     return layout.fill_sparse(written, cells, 2, F.lit(0.0).cast("float"))
 
 
-@query(f"""{E_SQL} SELECT i0, count(*) AS n, round(sum(CAST(value AS DOUBLE) * i1), 4) AS checksum FROM e WHERE i0 < 500 GROUP BY i0""")
+@query(f"""{E_SQL} SELECT i0, count(*) AS n, round(sum(CAST(value AS DOUBLE) * i1), 4) AS checksum FROM e GROUP BY i0""")
 def regrid_assemble(spark, sf_dir):
     """Chunks put together into rows again."""
-    c = layout.to_chunks(embeddings(spark, sf_dir).where("i0 < 500"), DIMS, CHUNKS)
+    c = layout.to_chunks(embeddings(spark, sf_dir), extent(spark, sf_dir), CHUNKS)
     rows = layout.to_rows(layout.from_chunks(c, 2), 2)
     weighted = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
     return rows.select("i0", F.size("values").cast("long").alias("n"), F.round(weighted, 4).alias("checksum"))
 
 
-@query(f"""{E_SQL}, g AS (SELECT a.x AS i0, b.x AS i1 FROM generate_series(0, 519) AS a(x), generate_series(0, 69) AS b(x))
-SELECT g.i0, g.i1, coalesce(e.value, 0.0)::FLOAT AS value FROM g LEFT JOIN (SELECT * FROM e WHERE i0 < 500) e ON g.i0 = e.i0 AND g.i1 = e.i1""")
+@query(f"""{E_SQL}, g AS (SELECT unnest(range(0, {ROWS_SQL} + 20)) AS i0, b.x AS i1 FROM generate_series(0, 69) AS b(x))
+SELECT g.i0, g.i1, coalesce(e.value, 0.0)::FLOAT AS value FROM g LEFT JOIN e ON g.i0 = e.i0 AND g.i1 = e.i1""")
 def resize_grow(spark, sf_dir):
-    return layout.resize(embeddings(spark, sf_dir).where("i0 < 500"), DIMS, (520, 70), (None, None))
+    rows, width = extent(spark, sf_dir)
+    return layout.resize(embeddings(spark, sf_dir), (rows, width), (rows + 20, 70), (None, None))
 
 
 @query(f"{E_SQL} SELECT i0, i1, value FROM e WHERE i0 < 123 AND i1 < 45")

@@ -14,7 +14,7 @@ from lattica.sources.h5write import Writer, filter_list
 
 from .array_queries import SLAB, SLAB_INDEX, SLAB_WHERE
 from .registry import query
-from .tables import E_SQL, embeddings, table
+from .tables import E_SQL, embeddings, extent, table
 
 
 def _folder(spark) -> str:
@@ -30,12 +30,12 @@ def _folder(spark) -> str:
 def _written(spark, sf_dir) -> str:
     register(spark)
     path = f"{_folder(spark)}/embeddings.h5"
-    e = embeddings(spark, sf_dir).where("i0 < 500")
-    e.write.format("h5array").options(dataset="/vectors/all", dims="500,64", dtype="float32", chunks="60,10", gzip="6", shuffle="true", fletcher32="true").mode("overwrite").save(path)
+    e = embeddings(spark, sf_dir)
+    e.write.format("h5array").options(dataset="/vectors/all", dims=",".join(map(str, extent(spark, sf_dir))), dtype="float32", chunks="60,10", gzip="6", shuffle="true", fletcher32="true").mode("overwrite").save(path)
     return path
 
 
-@query(f"{E_SQL} SELECT i0, i1, value FROM e WHERE i0 < 500")
+@query(f"{E_SQL} SELECT i0, i1, value FROM e")
 def source_round_trip(spark, sf_dir):
     """All elements through chunks with shuffle, deflate and checksum."""
     return scan(spark, _written(spark, sf_dir), "/vectors/all")
@@ -47,7 +47,7 @@ def source_hyperslab(spark, sf_dir):
     return scan(spark, _written(spark, sf_dir), "/vectors/all", SLAB)
 
 
-@query(f"{E_SQL} SELECT i0 // 60 AS c0, i1 // 10 AS c1, count(*) AS n, min(value) AS low FROM e WHERE i0 < 500 GROUP BY ALL")
+@query(f"{E_SQL} SELECT i0 // 60 AS c0, i1 // 10 AS c1, count(*) AS n, min(value) AS low FROM e GROUP BY ALL")
 def source_chunks(spark, sf_dir):
     """Chunks as rows, cut at the edges."""
     path = _written(spark, sf_dir)

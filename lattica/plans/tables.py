@@ -15,6 +15,16 @@ DIMS = (500, WIDTH)
 E_SQL = "WITH e AS (SELECT vec_id AS i0, unnest(range(0, len(embedding))) AS i1, unnest(embedding) AS value FROM embeddings)"
 
 
+#: SQL of the number of rows of the embeddings as an array.
+ROWS_SQL = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+def extent(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The dimensions of all embeddings as an array; an empty table has a row, as a dimension is positive."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"]
+    return (1 if last is None else int(last) + 1, WIDTH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from lattica.functions import codecs, lowfloat, strings
 from lattica.operators import compound
 
 from .registry import query
-from .tables import embeddings, table
+from .tables import E_SQL, embeddings, table
 
 STATUS = {"O": 0, "F": 1, "P": 2}
 SOURCES = "CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 WHEN 'P' THEN 2 END"
@@ -148,14 +148,50 @@ def codec_round_trip(spark, sf_dir):
     return x.select("p_partkey", back.alias("same"), F.octet_length("d").cast("long").alias("n"))
 
 
-@query()
+def _lookup3_sql(source: str) -> str:
+    """SQL of the hash of the bytes of names of up to 24: steps over three words a, b, c, each a CTE. source: rows (name)."""
+    m = 0xFFFFFFFF
+    rot = lambda x, k: f"((({x} << {k}) | ({x} >> {32 - k})) & {m})"
+    less = lambda x, y: f"(({x} - {y} + {m + 1}) & {m})"
+    more = lambda x, y: f"(({x} + {y}) & {m})"
+    word = lambda at: " + ".join(f"(CASE WHEN {at + k} <= n THEN ascii(substr(name, {at + k}, 1)) ELSE 0 END)::BIGINT * {1 << 8 * (k - 1)}" for k in range(1, 5))
+    steps = [f"s0 AS (SELECT name, n, (({0xDEADBEEF} + n) & {m})::BIGINT AS a, (({0xDEADBEEF} + n) & {m})::BIGINT AS b, (({0xDEADBEEF} + n) & {m})::BIGINT AS c FROM (SELECT DISTINCT name, length(name) AS n FROM ({source})))"]
+
+    def step(a: str, b: str, c: str) -> None:
+        k = len(steps)
+        steps.append(f"s{k} AS (SELECT name, n, {a} AS a, {b} AS b, {c} AS c FROM s{k - 1})")
+
+    # The first twelve bytes of longer names.
+    only = lambda x, old: f"CASE WHEN n > 12 THEN {x} ELSE {old} END"
+    step(*[only(more(v, f"({word(4 * k)})"), v) for k, v in enumerate("abc")])
+    for x, y, k, z in (("a", "c", 4, "b"), ("b", "a", 6, "c"), ("c", "b", 8, "a"), ("a", "c", 16, "b"), ("b", "a", 19, "c"), ("c", "b", 4, "a")):
+        new = {x: f"xor({less(x, y)}, {rot(y, k)})", y: more(y, z), z: z}
+        step(*[only(new[v], v) for v in "abc"])
+    rest = lambda k: f"CASE WHEN n > 12 THEN {word(12 + 4 * k)} ELSE {word(4 * k)} END"
+    step(*[more(v, f"({rest(k)})") for k, v in enumerate("abc")])
+    for x, y, k in (("c", "b", 14), ("a", "c", 11), ("b", "a", 25), ("c", "b", 16), ("a", "c", 4), ("b", "a", 14), ("c", "b", 24)):
+        new = {v: v for v in "abc"} | {x: less(f"xor({x}, {y})", rot(y, k))}
+        step(*[new[v] for v in "abc"])
+    return f"WITH {', '.join(steps)} SELECT name, c AS hash FROM s{len(steps) - 1}"
+
+
+@query(f"SELECT n_name, hash FROM nation JOIN ({_lookup3_sql('SELECT n_name AS name FROM nation')}) ON n_name = name")
 def name_hash(spark, sf_dir):
     """The 32-bit hash by which indexes order names."""
     return table(spark, sf_dir, "nation").select("n_name", codecs.lookup3_of(F.col("n_name").cast("binary")).alias("hash"))
 
 
-@query()
+#: The exponent of each value's leading bit, exactly, and at least a format's smallest; the value's size and sign.
+_BITS = """{e}, p AS (SELECT i0, i1, CAST(value AS DOUBLE) AS v, abs(CAST(value AS DOUBLE)) AS x FROM e),
+q AS (SELECT *, CASE WHEN x = 0 THEN -1000 ELSE floor(log2(x)) END AS guess FROM p),
+r AS (SELECT *, guess + CASE WHEN x > 0 AND x >= pow(2.0, guess + 1) THEN 1 WHEN x > 0 AND x < pow(2.0, guess) THEN -1 ELSE 0 END AS exact FROM q)"""
+
+
+@query(_BITS.format(e=E_SQL) + """, s AS (SELECT *, greatest(exact, -126) AS e FROM r), t AS (SELECT *, round_even(x / pow(2.0, e - 7), 0) AS m FROM s)
+SELECT i0, i1, CAST(CASE WHEN v < 0 THEN 32768 ELSE 0 END + CASE WHEN m < 128 THEN m ELSE (e + 127) * 128 + m - 128 END AS INTEGER) AS code,
+  CAST(CASE WHEN v < 0 THEN -1 ELSE 1 END * m * pow(2.0, e - 7) AS FLOAT) AS value FROM t""")
 def bf16_round_trip(spark, sf_dir):
+    """Values through 16 bits, of which eight are the exponent's."""
     e = embeddings(spark, sf_dir)
     return e.select("i0", "i1", lowfloat.bf16_code(F.col("value")).alias("code")).withColumn("value", lowfloat.bf16_value(F.col("code")))
 
@@ -169,7 +205,9 @@ def f8_decode_table(spark, sf_dir):
     return codes.where(~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
 
 
-@query()
+@query(_BITS.format(e=E_SQL) + """, s AS (SELECT *, greatest(exact, -6) AS a, greatest(exact, -14) AS b FROM r)
+SELECT i0, i1, CAST(CASE WHEN v < 0 THEN -1 ELSE 1 END * least(round_even(x / pow(2.0, a - 3), 0) * pow(2.0, a - 3), 448) AS FLOAT) AS e4m3,
+  CAST(CASE WHEN v < 0 THEN -1 ELSE 1 END * CASE WHEN x >= 61440 THEN 'Infinity'::DOUBLE ELSE round_even(x / pow(2.0, b - 2), 0) * pow(2.0, b - 2) END AS FLOAT) AS e5m2 FROM s""")
 def f8_round_trip(spark, sf_dir):
     """Values through both 8-bit formats."""
     e = embeddings(spark, sf_dir).select("i0", "i1", "value")

@@ -40,11 +40,11 @@ def wl_features_sliding(spark, sf_dir):
 
 
 @query(f"""{ops_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS rn FROM ops)
-SELECT key, seq, least(12, (SELECT count(*) FROM r b WHERE b.key = r.key AND b.rn <= r.rn AND b.us >= r.us - 21600000000)) AS n FROM r WHERE seq < 2000""")
+SELECT key, seq, least(12, rn + 1 - min(rn) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW)) AS n FROM r""")
 def wl_ring_capacity(spark, sf_dir):
     """The ring keeps the last twelve operations."""
     f = workload.sliding_features(operations(spark, sf_dir), config=RING)
-    return f.where("seq < 2000").select("key", "seq", F.col("n").cast("long").alias("n"))
+    return f.select("key", "seq", F.col("n").cast("long").alias("n"))
 
 
 @query(f"""{ops_sql()} SELECT key, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS n, count(*) FILTER (op = 'Delete') AS deletes, count(*) FILTER (op = 'Write') AS writes,
@@ -72,14 +72,29 @@ def _decisions(spark, sf_dir):
     return workload.decide(workload.sliding_features(operations(spark, sf_dir, 1e7), config=ten), ten), replace(ten, min_mode_seconds=3600)
 
 
-@query()
+def _modes_sql() -> str:
+    """The ordered fold by key as a recursive query: a step takes the next decision of each key."""
+    rules = f"{ops_sql('1e7')}{FEATURES}{CLASS}{DECIDE}".replace("21600000000", str(3 * 86_400 * 1_000_000)).replace("21600 / 5", f"{3 * 86_400} / 5").replace("WITH ops", "WITH RECURSIVE ops", 1)
+    return f"""{rules}, d2 AS (SELECT key, seq, us, rule_mode, confidence, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS rn FROM d),
+fold AS (
+  SELECT DISTINCT key, 0::BIGINT AS rn, NULL::BIGINT AS since, 'none' AS current, NULL::BIGINT AS seq, 'none' AS mode FROM d2
+  UNION ALL
+  SELECT n.key, n.rn, CASE WHEN n.confidence < 0.5 OR (f.since IS NOT NULL AND n.rule_mode <> f.current AND n.us - f.since < 3600000000) THEN f.since ELSE n.us END,
+    CASE WHEN n.confidence < 0.5 OR (f.since IS NOT NULL AND n.rule_mode <> f.current AND n.us - f.since < 3600000000) THEN f.current ELSE n.rule_mode END, n.seq,
+    CASE WHEN n.confidence < 0.5 THEN 'none' WHEN f.since IS NOT NULL AND n.rule_mode <> f.current AND n.us - f.since < 3600000000 THEN f.current ELSE n.rule_mode END
+  FROM fold f JOIN d2 n ON n.key = f.key AND n.rn = f.rn + 1
+), modes AS (SELECT key, seq, mode FROM fold WHERE rn > 0)"""
+
+
+@query(f"{_modes_sql()} SELECT key, seq, mode FROM modes")
 def wl_hysteresis(spark, sf_dir):
     """The mode in force, which changes an hour after the last accepted decision at the earliest: an ordered fold by key, over windows of three days."""
     d, config = _decisions(spark, sf_dir)
     return workload.hysteresis(d, config=config)
 
 
-@query()
+@query(f"""{_modes_sql()}, b AS (SELECT key, mode <> coalesce(lag(mode) OVER (PARTITION BY key ORDER BY seq), 'none') AS changed FROM modes)
+SELECT key, count(*) FILTER (changed) AS mode_changes, count(*) AS evaluations FROM b GROUP BY 1""")
 def wl_mode_changes(spark, sf_dir):
     d, config = _decisions(spark, sf_dir)
     return workload.mode_changes(workload.hysteresis(d, config=config))
