@@ -30,6 +30,12 @@ class WorkloadConfig:
     allowed: tuple[str, ...] = (NONE, LAZY, INCREMENTAL)
     large_file: int = 500 * MIB
 
+    def __post_init__(self) -> None:
+        if self.window_seconds <= 0 or self.min_samples < 1 or self.capacity < 1 or self.min_mode_seconds < 0 or self.large_file < 0:
+            raise ValueError("window, samples, capacity, time and size are positive")
+        if not 0 <= self.min_confidence <= 1 or not set(self.allowed) <= {NONE, LAZY, INCREMENTAL}:
+            raise ValueError("a confidence from 0 to 1 and known modes are asked for")
+
 
 DEFAULT = WorkloadConfig()
 
@@ -206,11 +212,13 @@ def normalised_rate(rate: Column) -> Column:
 
 def lazy_trigger(underflow: Column, total: Column, seconds: Column, threshold: float = 0.05, most_seconds: int = 300) -> Column:
     """Whether batched maintenance is due: a share of nodes underfull, or too long since the last time."""
+    check_lazy(threshold, most_seconds)
     return F.coalesce((total > 0) & (underflow / F.nullif(total, F.lit(0)) >= threshold), F.lit(False)) | (seconds >= most_seconds)
 
 
 def incremental_eta(left: Column, per_session: Column, session_ms: int = 100, interval_ms: int = 5000) -> Column:
     """Milliseconds until all is done, at so many nodes a session."""
+    check_incremental(session_ms, interval_ms)
     return F.when(per_session > 0, F.ceil(left / F.nullif(per_session, F.lit(0))) * (session_ms + interval_ms)).otherwise(F.lit(None).cast("long"))
 
 

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from lattica.operators import workload
+from lattica.session import shared_folder
 from lattica.streaming.workload_stream import stream_features
 
 from .registry import query
@@ -150,15 +151,32 @@ def wl_metrics_json(spark, sf_dir):
     return workload.as_json(workload.size_histogram(operations(spark, sf_dir)))
 
 
-@query(f"""{ops_sql()} SELECT key, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS n, count(*) FILTER (op = 'Delete') AS deletes, arg_max(file_size, us) AS last_size FROM ops GROUP BY ALL""")
-def wl_stream_features(spark, sf_dir):
-    """The same features from a stream over the events, run until all input is read."""
+def _event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     kind = F.col("event_type")
     op = F.when(kind.isin("view", "click"), "Read").when(kind.isin("signup", "purchase"), "Write").otherwise("Delete")
-    ops = stream.select((F.col("user_id") % 4).cast("long").alias("key"), F.col("event_id").alias("seq"), "ts", op.alias("op"), F.round(F.col("value") * 1e6).cast("long").alias("file_size"))
-    name = f"wl_stream_{uuid.uuid4().hex}"
-    features = stream_features(ops, CONFIG)
-    features.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "deletes", "last_size")
+    return stream.select((F.col("user_id") % 4).cast("long").alias("key"), F.col("event_id").alias("seq"), "ts", op.alias("op"), F.round(F.col("value") * 1e6).cast("long").alias("file_size"))
+
+
+def _streamed(spark, features):
+    """All results of a stream over the input at hand, written by the tasks: nothing is gathered on the driver."""
+    path = f"{shared_folder(spark)}/wl-stream-{uuid.uuid4().hex}"
+    write = features.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).outputMode("complete")
+    write.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(f"""{ops_sql()} SELECT key, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS n, count(*) FILTER (op = 'Delete') AS deletes, arg_max(file_size, us) AS last_size FROM ops GROUP BY ALL""")
+def wl_stream_features(spark, sf_dir):
+    """The same features from a stream over the events, run until all input is read."""
+    out = _streamed(spark, stream_features(_event_stream(spark, sf_dir), CONFIG))
+    return out.select("key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "deletes", "last_size")
+
+
+@query(f"""{ops_sql()} SELECT key, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR * k AS window_start, count(*) AS n, count(*) FILTER (op = 'Write') AS writes,
+count(*) >= 10 AND (max(us) - min(us)) / 1e6 < 21600 / 5 AS burst FROM ops, generate_series(0, 2) AS g(k) GROUP BY ALL""")
+def wl_stream_sliding(spark, sf_dir):
+    """Windows of six hours that start every two, from a stream."""
+    out = _streamed(spark, stream_features(_event_stream(spark, sf_dir), CONFIG, slide_seconds=7_200))
+    return out.select("key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "writes", "burst")

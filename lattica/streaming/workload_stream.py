@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lattica.operators.workload import DEFAULT, NONE, WorkloadConfig, decide, finish_features, fold_modes
+from lattica.operators.workload import DEFAULT, NONE, WorkloadConfig, check_lazy, decide, finish_features, fold_modes
 
+#: Flushes of batched maintenance: when, why (threshold or timeout), and how much was due.
+FLUSH_SCHEMA = "key string, us bigint, reason string, underflow bigint, total bigint"
 MODE_SCHEMA = "key string, us bigint, rule_mode string, mode string"
 _STATE = "us bigint, mode string"
 
@@ -49,3 +51,35 @@ def stream_modes(decisions: DataFrame, config: WorkloadConfig = DEFAULT) -> Data
         yield pd.DataFrame({"key": [str(key[0])] * len(rows), "us": rows["us"].tolist(), "rule_mode": rows["rule_mode"].tolist(), "mode": modes})
 
     return decisions.groupBy("key").applyInPandasWithState(step, MODE_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_flushes(changes: DataFrame, threshold: float = 0.05, most_seconds: int = 300, late: str = "0 seconds") -> DataFrame:
+    """When batched maintenance of a key runs, from changes (key, ts, underflow, total: what each adds to the nodes underfull and to all).
+
+    A flush is due when the share of underfull nodes reaches the threshold, or when the time since the last flush (the first
+    change) has passed by the watermark; the underfull nodes are none after it.
+    """
+    check_lazy(threshold, most_seconds)
+    micros = most_seconds * 1_000_000
+
+    def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        underflow, total, since = state.get if state.exists else (0, 0, -1)
+        out = []
+        if state.hasTimedOut:
+            if underflow:
+                out.append((since + micros, "timeout", underflow, total))
+            underflow, since = 0, since + micros
+        else:
+            for row in pd.concat(list(parts)).sort_values("us").itertuples():
+                since = row.us if since < 0 else since
+                underflow, total = underflow + int(row.underflow), total + int(row.total)
+                late_ = row.us - since >= micros
+                if underflow and total and (underflow / total >= threshold or late_):
+                    out.append((int(row.us), "timeout" if late_ and underflow / total < threshold else "threshold", underflow, total))
+                    underflow, since = 0, int(row.us)
+        state.update((underflow, total, since))
+        state.setTimeoutTimestamp(max((since + micros) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(str(key[0]), *x) for x in out], columns=["key", "us", "reason", "underflow", "total"])
+
+    rows = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("key").applyInPandasWithState(step, FLUSH_SCHEMA, "underflow bigint, total bigint, since bigint", "append", GroupStateTimeout.EventTimeTimeout)

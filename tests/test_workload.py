@@ -96,3 +96,124 @@ def test_best_fit(spark):
     want = spark.createDataFrame([(1, 10), (2, 11), (3, 64), (4, 65), (5, 501), (6, 1)], "id long, size long")
     got = {r["id"]: r["at"] for r in space.best_fit(want, free).collect()}
     assert got == {1: 0, 2: 100, 3: 100, 4: 300, 5: None, 6: 0}
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """Events behind the watermark don't count: a window that was given stays as it was."""
+    from lattica.streaming.workload_stream import stream_features
+
+    minute = lambda k: T0 + dt.timedelta(minutes=k)
+    schema = "key string, seq long, ts timestamp, op string, file_size long"
+    for k, rows in enumerate([[("a", 1, minute(1), "Read", 1), ("a", 2, minute(2), "Write", 1)], [("a", 3, minute(60), "Read", 1)], [("a", 4, minute(3), "Delete", 1), ("a", 5, minute(61), "Read", 1)], [("a", 6, minute(200), "Read", 1)], [("a", 7, minute(201), "Read", 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stream_features(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r["window_start"]: (r["n"], r["deletes"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {T0: (2, 0), minute(60): (2, 0)}
+
+
+def test_monitor(spark, tmp_path):
+    """Recording, evaluating, holding a mode, telling of changes, starting again, and what the metrics say."""
+    from dataclasses import replace
+
+    from lattica.streaming.monitor import Monitor
+
+    config = replace(workload.DEFAULT, min_confidence=0.5)
+    now, told = [0], []
+    schema = "key string, seq long, ts timestamp, op string, file_size long"
+    at = lambda e: int((e - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+
+    def feed(ops, second, key="k"):
+        rows = [(key, k, T0 + dt.timedelta(seconds=second + k * 0.01), {"D": "Delete", "W": "Write", "R": "Read"}[o], 600 << 20) for k, o in enumerate(ops)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        now[0] = at(T0 + dt.timedelta(seconds=second + 3))
+
+    def run(m):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        m.start(stream, interval=None).awaitTermination()
+        return {r["key"]: r["mode"] for r in m.modes().collect()}
+
+    make = lambda: Monitor(spark, str(tmp_path / "state"), config, clock=lambda: now[0], on_change=lambda d: told.append(sorted((r["key"], r["mode"]) for r in d.collect())))
+    m = make()
+    assert m.modes().count() == 0 and m.metrics().first()["evaluations"] == 0 and not m.stats()["running"]
+    m.stop()
+    feed("D" * 30, 0)
+    assert run(m) == {"k": "lazy"}
+    feed("W" * 5 + "R" * 50, 10)
+    assert run(m) == {"k": "lazy"}  # the rules say incremental, too soon after the last decision
+    m = make()
+    feed("R" * 100 + "W" * 80, 60)
+    assert run(m) == {"k": "incremental"}
+    feed("R", 1000)
+    assert run(m) == {"k": "none"}  # one event in the window: not sure enough
+    assert told == [[("k", "lazy")], [("k", "incremental")], [("k", "none")]]
+    row = m.metrics().first()
+    assert (row["evaluations"], row["errors"], row["error_rate"], row["mode_changes"]) == (4, 0, 0.0, 3) and 0 < row["min_milliseconds"] <= row["avg_milliseconds"] <= row["max_milliseconds"]
+    s = m.stats()
+    assert (s["evaluations"], s["events"], s["events_in_window"], s["running"]) == (4, 30 + 55 + 180 + 1, 1, False)
+    m.on_change = lambda d: 1 / 0
+    feed("D" * 40, 2000)
+    with pytest.raises(Exception, match="ZeroDivisionError|division"):
+        run(m)
+    assert make().metrics().first()["errors"] >= 1
+
+
+def test_modes_by_step_are_those_of_the_fold(spark):
+    import random
+
+    from lattica.streaming.monitor import MODES, step_modes
+
+    rng = random.Random(4)
+    modes = spark.createDataFrame([], MODES)
+    state, us = (None, "none"), 0
+    for _ in range(12):
+        us += rng.choice([5, 20, 40]) * 1_000_000
+        mode, sure = rng.choice(["lazy", "incremental", "none"]), rng.choice([0.2, 0.9])
+        want, state = workload.fold_modes([us], [mode], [sure], state)
+        d = spark.createDataFrame([("k", mode, "MixedRW", sure)], "key string, rule_mode string, workload string, confidence double")
+        modes = spark.createDataFrame(step_modes(d, modes, us).collect(), MODES + ", changed boolean").drop("changed")
+        assert modes.first()["mode"] == want[0]
+
+
+def test_flushes(spark, tmp_path):
+    from lattica.streaming.workload_stream import stream_flushes
+
+    schema = "key string, ts timestamp, underflow long, total long"
+    second = lambda s: T0 + dt.timedelta(seconds=s)
+    for rows in ([("a", second(0), 1, 100), ("a", second(5), 1, 0), ("b", second(0), 1, 100)], [("a", second(9), 4, 0)], [("c", second(400), 1, 1000)], [("c", second(401), 1, 0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = stream_flushes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r["key"], r["us"] - int((T0 - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000, r["reason"], r["underflow"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 9_000_000, "threshold", 6, 100), ("b", 300_000_000, "timeout", 1, 100)]
+    with pytest.raises(ValueError):
+        stream_flushes(None, threshold=0)
+
+
+def test_configurations_are_checked():
+    for bad in ({"window_seconds": 0}, {"min_samples": 0}, {"capacity": 0}, {"min_confidence": 1.5}, {"allowed": ("eager",)}):
+        with pytest.raises(ValueError):
+            workload.WorkloadConfig(**bad)
+    for bad in ((0, 300), (1.5, 300), (0.05, 0)):
+        with pytest.raises(ValueError):
+            workload.check_lazy(*bad)
+    with pytest.raises(ValueError):
+        workload.incremental_eta(F.lit(1), F.lit(1), session_ms=0)
+
+
+def test_sizes_round_ties_to_even(spark):
+    from lattica.functions.strings import format_bytes
+
+    want = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.2 KB", 1792: "1.8 KB", 1 << 20: "1.0 MB", (1 << 30) + (1 << 27): "1.12 GB", (1 << 30) + 3 * (1 << 27): "1.38 GB", (1 << 20) - 1: "1024.0 KB", (1 << 62): "4294967296.00 GB"}
+    got = spark.createDataFrame([(n,) for n in want], "n long").select("n", format_bytes(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in got} == want
+
+
+def test_walk_refuses_deeper_trees(spark):
+    links = spark.createDataFrame([(k, f"g{k}", "hard", k + 1) for k in range(6)], "parent long, name string, link_type string, target long")
+    kinds = spark.createDataFrame([(k, "group") for k in range(7)], "address long, kind string")
+    assert catalog.walk(links, kinds, 0, most_levels=6).count() == 6
+    with pytest.raises(ValueError, match="levels"):
+        catalog.walk(links, kinds, 0, most_levels=5)
