@@ -192,9 +192,11 @@ def test_covers_and_packing(spark):
         assert (x == y).all()
     from pyspark.sql import functions as F
 
-    names = bucket_names(13)
-    placed = spark.createDataFrame([(int(b), k) for k, b in enumerate(names)], "bucket int, k int").repartition(13, "bucket").select("k", F.spark_partition_id().alias("p"))
-    assert placed.where("k <> p").count() == 0
+    for each in (1, 5):
+        names = bucket_names(13, each)
+        assert len(set(names.tolist())) == 13 * each
+        placed = spark.createDataFrame([(int(b), k) for k, b in enumerate(names)], "bucket int, k int").repartition(13, "bucket").select("k", F.spark_partition_id().alias("p"))
+        assert placed.where("k % 13 <> p").count() == 0
 
 
 BENCH = [
@@ -202,6 +204,9 @@ BENCH = [
     (2, "Seven small birds sat together on one long wire until the evening wind carried them all away"),
     (3, "too short"),
     (4, None),
+    (5, "Which 3 birds sang?"),
+    (6, "1 2 3 4 5 6 7 8 9 10 11 12"),
+    (7, ""),
 ]
 
 
@@ -218,10 +223,16 @@ def test_decontamination(spark):
         (16, ""),
         (17, "A train leaves the station"),
         (18, " ".join(filler.split() * 400) + " " + BENCH[1][1]),
+        (19, f"{filler} too short {filler}"),
+        (20, "Too short!"),
+        (21, f"{filler}, WHICH 3 birds sang"),
+        (22, f"{filler} which 4 birds sang"),
+        (23, " ".join(str(7 * k) for k in range(3000))),
+        (24, f"{filler} 1 2 3 4 5 6 7 8 9 10 11 12 {filler}"),
     ]
     df = spark.createDataFrame([(k, t, 5, "x") for k, t in docs] + [(12, docs[2][1], 5, "x")], "doc_id long, text string, item_id long, item string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate(df, spark.createDataFrame(BENCH, "item_id long, text string")).collect()}
-    assert set(got) == {(10, 1), (11, 1), (12, 2), (18, 2)}
+    assert set(got) == {(10, 1), (11, 1), (12, 2), (18, 2), (20, 3), (21, 5), (24, 6)}
     assert got[11, 1]["changed_slots"] and not got[10, 1]["changed_slots"]
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontaminate(df.where("false"), bench).count() == 0 and decontaminate(df, bench.where("false")).count() == 0
@@ -238,6 +249,87 @@ def test_inconsistent_slots_are_no_match(spark):
 
 
 
+def plain_decontaminate(docs, items, width=8):
+    """All pairs of documents and items (lists of template words), window by window."""
+    from lattica.llm.decontaminate import LEAST_PLAIN, LEAST_SHORT, LEAST_WINDOWS, MARK, NAME, SHARE
+
+    value = lambda w: w[2:] if w.startswith(MARK) else w
+
+    def windows(words):
+        for i in range(len(words) - width + 1):
+            w = words[i : i + width]
+            marks = [x for x in w if x.startswith(MARK)]
+            if len(marks) > width - LEAST_PLAIN:
+                yield i, tuple(w), (), False
+            else:
+                yield i, tuple(x[:2] if x.startswith(MARK) else x for x in w), tuple(marks), False
+            if any(x.startswith(NAME) for x in w):
+                key = tuple(x[2:] if x.startswith(NAME) else x[:2] if x.startswith(MARK) else x for x in w)
+                yield i, ("folded", *key), tuple(x for x in marks if not x.startswith(NAME)), True
+
+    def same(key):  # a folded window meets a plain one of the same words
+        return key[1:] if key[0] == "folded" else key
+
+    out = {}
+    for item, words in items.items():
+        if 0 < len(words) < width:
+            v = [value(w) for w in words]
+            for d, text in docs.items():
+                t = [value(w) for w in text]
+                if (len(v) < LEAST_SHORT and t == v) or (len(v) >= LEAST_SHORT and any(t[i : i + len(v)] == v for i in range(len(t)))):
+                    out[d, item] = (1, 1)
+            continue
+        first = {}
+        for i, key, slots, folded in windows(words):
+            k = same(key)
+            if k not in first or (i, slots) < first[k][:2]:
+                first[k] = (i, slots, folded)
+        n = sum(not f for _, _, f in first.values())
+        for d, text in docs.items():
+            shifts = {}
+            for j, key, slots, _ in windows(text):
+                if same(key) in first:
+                    i, own, _ = first[same(key)]
+                    at = shifts.setdefault(j - i, (set(), set()))
+                    at[0].add(i)
+                    at[1].update(zip(own, slots))
+            matched = sum(len(ats) for ats, pairs in shifts.values() if len({a for a, _ in pairs}) == len(pairs))
+            if matched and (min(matched, n) >= LEAST_WINDOWS or min(matched, n) >= SHARE * n):
+                out[d, item] = (n, min(matched, n))
+    return out
+
+
+def test_decontamination_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lattica.llm.decontaminate import template_words
+
+    rng = random.Random(17)
+    vocabulary = "the quick train left for paris with apples and 5 12 7 km Alice Bruno of red green then why how many".split()
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 4, 6, 9, 14, 25])))) for k in range(25)]
+    items.append((50, items[3][1] + " " + items[3][1]))
+    docs = []
+    for k in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(0, 3)):
+            part = rng.choice(items)[1].split()
+            if rng.random() < 0.5:
+                part = [x.replace("5", "31").replace("Alice", "Carla").replace("12", "7") for x in part]
+            if rng.random() < 0.3:
+                part = [x.upper() for x in part]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part[rng.randrange(3) :]
+        docs.append((k, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda df: {r[0]: r[1] for r in df.select(df.columns[0], template_words(F.col("text"))).collect()}
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"]) for r in decontaminate(d, b).collect()}
+    want = plain_decontaminate(words(d), words(b))
+    assert len(want) > 40 and got == want
+
+
 def test_copies_in_another_case(spark):
     filler = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
     train = BENCH[0][1]
