@@ -127,3 +127,24 @@ def object_kind(messages: Column) -> Column:
     """Kind from the names of a header's messages."""
     has = lambda *names: F.arrays_overlap(messages, F.array(*[F.lit(n) for n in names]))
     return F.when(has("layout"), "dataset").when(has("symbol_table", "link_info", "link"), "group").when(has("datatype") & ~has("dataspace"), "datatype").otherwise("unknown")
+
+
+def resolve_references(values: DataFrame, objects: DataFrame, column: str = "value") -> DataFrame:
+    """Object references (addresses) with the path and kind of what they refer to; nulls where nothing has that address.
+
+    Of an object with several paths the first by its bytes is given.
+    """
+    first = objects.groupBy(F.col("address").alias("at")).agg(F.min(F.struct("path", "kind")).alias("x"))
+    return values.join(first, values[column] == first["at"], "left").select(*values.columns, F.col("x.path").alias("path"), F.col("x.kind").alias("kind"))
+
+
+def index_order(names: DataFrame, hash_col: str = "hash", name_col: str = "name", *groups: str) -> DataFrame:
+    """Names with their place in an index: by hash, then by the bytes of the name; within groups if there are any."""
+    order = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    return names.withColumn("place", F.row_number().over(order.orderBy(hash_col, F.col(name_col).cast("binary"))))
+
+
+def index_lookup(index: DataFrame, wanted: DataFrame, hash_col: str = "hash", name_col: str = "name") -> DataFrame:
+    """The index's rows of wanted names (with their hashes): hashes meet first, names tell apart those that share one."""
+    w = wanted.select(F.col(hash_col).alias("h_"), F.col(name_col).alias("n_")).distinct()
+    return index.join(w, (F.col(hash_col) == F.col("h_")) & (F.col(name_col) == F.col("n_"))).drop("h_", "n_")

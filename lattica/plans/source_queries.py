@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lattica.sources.h5array import register, scan
-from lattica.sources.h5types import VLEN_STRING, compound, enum_of, fixed_string, floating, integer, type_of
+from lattica.operators import catalog
+from lattica.sources.h5array import register, scan, write_catalog
+from lattica.sources.h5types import OBJECT_REFERENCE, VLEN_STRING, compound, enum_of, fixed_string, floating, integer, type_of
 from lattica.sources.h5write import Writer, filter_list
 
 from .array_queries import SLAB, SLAB_INDEX, SLAB_WHERE
@@ -129,3 +130,128 @@ def source_sparse_fill(spark, sf_dir):
     return scan(spark, _nations(spark, sf_dir), "/sparse")
 
 
+
+
+def _save(df, path: str, dataset: str, n: int, mode: str = "overwrite", **options: str) -> None:
+    df.write.format("h5array").options(dataset=dataset, dims=str(n), **options).mode(mode).save(path)
+
+
+def _parts(spark, sf_dir):
+    """Parts by their place (their keys), and how many places there are."""
+    register(spark)
+    p = table(spark, sf_dir, "part")
+    return p.withColumn("i0", F.col("p_partkey").cast("long")), p.agg((F.max("p_partkey") + 1).alias("n")).first()["n"] or 1
+
+
+@query("SELECT p_partkey::BIGINT AS i0, p_name AS value FROM part")
+def source_write_strings(spark, sf_dir):
+    """Strings of any length from a DataFrame."""
+    p, n = _parts(spark, sf_dir)
+    path = f"{_folder(spark)}/strings.h5"
+    _save(p.select("i0", F.col("p_name").alias("value")), path, "/deep/down/names", n)
+    return scan(spark, path, "/deep/down/names")
+
+
+@query("SELECT p_partkey::BIGINT AS i0, substr(p_brand, 1, 6) AS value FROM part")
+def source_write_fixed_strings(spark, sf_dir):
+    p, n = _parts(spark, sf_dir)
+    path = f"{_folder(spark)}/fixed.h5"
+    _save(p.select("i0", F.col("p_brand").alias("value")), path, "/brands", n, dtype="string:6", chunks="100", gzip="6")
+    return scan(spark, path, "/brands")
+
+
+@query("SELECT p_partkey::BIGINT AS i0, p_partkey AS id, p_retailprice AS price, CAST(p_size AS FLOAT) AS x FROM part")
+def source_write_structs(spark, sf_dir):
+    """Structs become compounds; of the members only those that are asked for are decoded."""
+    p, n = _parts(spark, sf_dir)
+    path = f"{_folder(spark)}/structs.h5"
+    value = F.struct(F.col("p_partkey").alias("id"), F.struct(F.col("p_size").cast("float").alias("x"), F.lit(1).cast("short").alias("one")).alias("point"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    _save(p.select("i0", value.alias("value")), path, "/rows", n)
+    return scan(spark, path, "/rows", fields="id,point,price").select("i0", "value.id", "value.price", "value.point.x")
+
+
+@query("""WITH v AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY 1)
+SELECT g.x::BIGINT AS i0, coalesce(n, 0)::BIGINT AS n, coalesce(total, 0) AS total FROM (SELECT unnest(range(0, (SELECT max(l_orderkey) + 1 FROM lineitem))) AS x) g LEFT JOIN v ON g.x = l_orderkey""")
+def source_write_sequences(spark, sf_dir):
+    """Sequences of any length; a place without a row holds an empty one."""
+    register(spark)
+    lines = table(spark, sf_dir, "lineitem")
+    n = lines.agg((F.max("l_orderkey") + 1).alias("n")).first()["n"] or 1
+    v = lines.groupBy(F.col("l_orderkey").cast("long").alias("i0")).agg(F.collect_list("l_quantity").alias("value"))
+    path = f"{_folder(spark)}/sequences.h5"
+    _save(v, path, "/quantities", n)
+    return scan(spark, path, "/quantities").select("i0", F.size("value").cast("long").alias("n"), F.aggregate("value", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT o_orderkey::BIGINT AS i0, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS value FROM orders UNION ALL SELECT -1, max(p_partkey)::INTEGER FROM part")
+def source_append(spark, sf_dir):
+    """A second dataset added to a file: codes of named values; the first is still there."""
+    p, n = _parts(spark, sf_dir)
+    path = f"{_folder(spark)}/append.h5"
+    _save(p.select("i0", F.col("p_partkey").alias("value")), path, "/keys", n, dtype="int64")
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg((F.max("o_orderkey") + 1).alias("n")).first()["n"] or 1
+    _save(orders.select(F.col("o_orderkey").cast("long").alias("i0"), F.col("o_orderstatus").alias("value")), path, "/orders/status", last, mode="append", enum="O=0,F=1,P=2", dtype="int8")
+    first = scan(spark, path, "/keys").agg(F.lit(-1).cast("long").alias("i0"), F.max("value").cast("int").alias("value"))
+    return scan(spark, path, "/orders/status").select("i0", F.col("value").cast("int").alias("value")).union(first)
+
+
+@query("""SELECT '/' AS parent, r_name AS name, 'hard' AS link_type, NULL AS target_path FROM region UNION ALL SELECT '/' || r_name, n_name, 'soft', '/' || r_name || '/none' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0
+UNION ALL SELECT '/' || r_name, n_name, 'external', '/data' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 1""")
+def source_write_catalog(spark, sf_dir):
+    """Groups and links from a DataFrame."""
+    return _catalog(spark, sf_dir, "links").select("parent", "name", "link_type", "target_path")
+
+
+@query("SELECT '/' || r_name AS path, 'key' AS name, CAST(r_regionkey AS VARCHAR) AS value FROM region WHERE r_regionkey > 0")
+def source_write_attributes(spark, sf_dir):
+    """Attributes put in, one of them in place of another, and one deleted."""
+    return _catalog(spark, sf_dir, "attributes").select("path", "name", "value")
+
+
+def _catalog(spark, sf_dir, kind: str):
+    register(spark)
+    path = f"{_folder(spark)}/catalog.h5"
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    groups = region.select(F.concat(F.lit("/"), "r_name").alias("path"), F.lit("group").alias("link_type"), F.lit(None).cast("string").alias("target_path"), F.lit(None).cast("string").alias("target_file"))
+    n = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    soft = F.col("n_nationkey") % 2 == 0
+    links = n.select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("path"), F.when(soft, "soft").otherwise("external").alias("link_type"), F.when(soft, F.concat(F.lit("/"), "r_name", F.lit("/none"))).otherwise(F.lit("/data")).alias("target_path"), F.when(~soft, F.lit("other.h5")).alias("target_file"))
+    at = region.select(F.concat(F.lit("/"), "r_name").alias("path"), F.lit("key").alias("name"), F.col("r_regionkey").alias("value"))
+    write_catalog(spark, path, groups.union(links), at.withColumn("value", F.col("value") + 7))
+    write_catalog(spark, path, attributes=at)
+    write_catalog(spark, path, deleted=at.where("value = 0").drop("value"))
+    return spark.read.format("h5array").options(path=path, table=kind).load()
+
+
+@query("SELECT n_nationkey::BIGINT AS i0, '/' || r_name AS path, 'group' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey")
+def source_references(spark, sf_dir):
+    """References to groups, resolved by the addresses of a file's objects."""
+    register(spark)
+    base, path = f"{_folder(spark)}/base.h5", f"{_folder(spark)}/references.h5"
+    regions = {r["r_regionkey"]: r["r_name"] for r in table(spark, sf_dir, "region").collect()}  # five rows
+    nations = [r["n_regionkey"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+
+    def write(to: str, address: dict[str, int]) -> dict[str, int]:
+        with Writer(to) as w:
+            for name in regions.values():
+                w.group(f"/{name}")
+            w.dataset("/refs", [address.get(regions[k], 0) for k in nations], OBJECT_REFERENCE, dims=(len(nations),))
+        objects = spark.read.format("h5array").options(path=to, table="objects").load().collect()  # a file of seven objects
+        return {o["path"].strip("/"): o["address"] for o in objects}
+
+    # Headers are placed when a file is closed: the same file written again has them at the same places.
+    write(path, write(base, {}))
+    objects = spark.read.format("h5array").options(path=path, table="objects").load()
+    return catalog.resolve_references(scan(spark, path, "/refs"), objects).select("i0", "path", "kind")
+
+
+@query("SELECT '/point' AS path, 'x' AS member, 0 AS at, 4 AS size UNION ALL SELECT '/point', 'n', 4, 8 UNION ALL SELECT '/kind', NULL, NULL, 2")
+def source_named_types(spark, sf_dir):
+    register(spark)
+    path = f"{_folder(spark)}/types.h5"
+    with Writer(path) as w:
+        w.named_type("/point", compound({"x": floating("float32"), "n": integer(64)}))
+        w.named_type("/kind", enum_of(integer(16), {"even": 0, "odd": 1}))
+    t = spark.read.format("h5array").options(path=path, table="named_types").load()
+    return t.select("path", F.explode_outer("members").alias("m"), F.col("size").alias("whole")).select("path", F.col("m.name").alias("member"), F.col("m.offset").alias("at"), F.coalesce("m.size", "whole").alias("size"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions import codecs, lowfloat, strings
-from lattica.operators import compound
+from lattica.operators import catalog, compound
 
 from .registry import query
 from .tables import E_SQL, embeddings, table
@@ -175,6 +175,25 @@ def _lookup3_sql(source: str) -> str:
     return f"WITH {', '.join(steps)} SELECT name, c AS hash FROM s{len(steps) - 1}"
 
 
+def _hashed_parts(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 20).alias("name")).distinct()
+    return names.select("name", codecs.lookup3_of(F.col("name").cast("binary")).alias("hash"))
+
+
+@query(f"SELECT name, hash, row_number() OVER (PARTITION BY hash % 8 ORDER BY hash, name) AS place FROM ({_lookup3_sql('SELECT substr(p_name, 1, 20) AS name FROM part')})")
+def name_index_order(spark, sf_dir):
+    """The places of names in eight indexes, ordered by hash."""
+    return catalog.index_order(_hashed_parts(spark, sf_dir).withColumn("part", F.col("hash") % 8), "hash", "name", "part").drop("part")
+
+
+@query(f"SELECT name, hash FROM ({_lookup3_sql('SELECT substr(p_name, 1, 20) AS name FROM part')}) WHERE length(name) % 3 = 0")
+def name_index_lookup(spark, sf_dir):
+    """Names found by hash and name; one that shares no hash is not there."""
+    index = _hashed_parts(spark, sf_dir)
+    wanted = index.where(F.length("name") % 3 == 0).union(spark.range(1).select(F.lit("no such name"), codecs.lookup3_of(F.lit("no such name").cast("binary"))))
+    return catalog.index_lookup(index, wanted)
+
+
 @query(f"SELECT n_name, hash FROM nation JOIN ({_lookup3_sql('SELECT n_name AS name FROM nation')}) ON n_name = name")
 def name_hash(spark, sf_dir):
     """The 32-bit hash by which indexes order names."""

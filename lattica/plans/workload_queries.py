@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import workload
 from lattica.session import shared_folder
+from lattica.streaming.monitor import MODES, step_modes, trailing_features
 from lattica.streaming.workload_stream import stream_features
 
 from .registry import query
@@ -151,6 +152,18 @@ def wl_metrics_json(spark, sf_dir):
     return workload.as_json(workload.size_histogram(operations(spark, sf_dir)))
 
 
+@query(f"""{ops_sql('1e7')}, ends AS (SELECT max(us) AS e FROM ops), f AS (SELECT key, count(*) AS n, count(*) FILTER (op = 'Delete') / count(*) AS delete_ratio, count(*) FILTER (op = 'Write') / count(*) AS write_ratio,
+  count(*) FILTER (op = 'Read') / count(*) AS read_ratio, count(*) >= 10 AND (max(us) - min(us)) / 1e6 < 604800 / 5 AS burst, arg_max(file_size, us) AS last_size FROM ops, ends WHERE us >= e - 604800000000 GROUP BY key){CLASS}{DECIDE}
+SELECT key::VARCHAR AS key, CASE WHEN confidence < 0.5 THEN 'none' ELSE rule_mode END AS mode, workload, CASE WHEN confidence < 0.5 THEN false ELSE rule_mode <> 'none' END AS changed FROM d""")
+def wl_evaluate_now(spark, sf_dir):
+    """One evaluation at the time of the last event, over the week before it."""
+    config = replace(CONFIG, window_seconds=604_800, min_confidence=0.5)
+    ops = operations(spark, sf_dir, 1e7).withColumn("key", F.col("key").cast("string"))
+    now = ops.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("n")).first()["n"] or 0
+    decisions = workload.decide(trailing_features(ops, now, config), config)
+    return step_modes(decisions, spark.createDataFrame([], MODES), now, config).select("key", "mode", "workload", "changed")
+
+
 def _event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")

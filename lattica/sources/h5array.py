@@ -1,15 +1,19 @@
 """The ``h5array`` data source: catalogs and arrays of a file as DataFrames, and arrays written to one.
 
-Reading: option ``path``; ``table`` is objects, links, attributes or superblock, or ``dataset`` names an
+Reading: option ``path``; ``table`` is objects, links, attributes, named_types or superblock, or ``dataset`` names an
 array. ``form``: long (i0, i1, …, value), rows (the last dimension as an array) or chunks (allocated chunks
-with coordinates, offset, shape and data). ``compat``: all numbers as double. ``bounds`` ("lo:hi,lo:hi,…", hi not
+with coordinates, offset, shape and data). ``compat``: all numbers as double. ``fields`` ("a,b") are the members of
+a compound that are decoded; the others are not. ``bounds`` ("lo:hi,lo:hi,…", hi not
 included) limits what is read: chunks and byte ranges outside are not touched; :func:`scan` sets it from a
 selection. (Filters that Spark pushes into a Python source stay with the DataFrame they were pushed from, and
 would prune its other queries too; so bounds are explicit.)
 
-Writing: rows (i0, i1, …, value) with options ``dataset``, ``dims``, ``dtype`` and, if wanted, ``chunks``,
-``gzip``, ``shuffle``, ``fletcher32``. Tasks encode their elements to part files beside the target; the commit
-places them and writes the file, so that step is one process whose time grows with the file.
+Writing: rows (i0, i1, …, value) with options ``dataset``, ``dims`` and, if wanted, ``dtype``, ``chunks``, ``gzip``,
+``shuffle``, ``fletcher32``. Without a ``dtype`` the value's Spark type gives it: numbers, strings (``vlen_string``),
+binary, arrays (sequences) and structs of these (compounds). ``enum`` ("name=code,…") writes codes of named values.
+Mode overwrite makes the file anew; append adds the dataset to a copy of the file, which then replaces it.
+Tasks write their elements to part files beside the target; the commit places them and writes the file, so that
+step is one process whose time grows with the file. Elements without a row are zero, empty or null members.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from lattica.functions.shapes import safe_product, strides
 from lattica.operators.selection import Hyperslab, hyperslab
 
 from .h5read import Chunk, Dataset, Reader, opener
-from .h5types import numpy_type, spark_type, type_of
+from .h5types import ENUM, FIXED, FLOAT, VLEN_STRING, H5Type, compound, enum_of, floating, integer, numpy_type, parse_type, spark_type, type_of, vlen
 from .h5write import Writer, filter_list
 
 TARGET_BYTES = 32 << 20
@@ -41,6 +45,7 @@ TABLES = {
     "objects": "path string, kind string, address bigint, dtype string, dims array<bigint>, max_dims array<bigint>, layout string, chunk_dims array<bigint>, filters array<int>, info string, error string",
     "links": "path string, parent string, name string, link_type string, target bigint, target_path string, target_file string",
     "attributes": "path string, name string, dtype string, dims array<bigint>, value string, error string",
+    "named_types": "path string, address bigint, dtype string, size int, signed boolean, big_endian boolean, members array<struct<name:string,offset:int,dtype:string,size:int>>, names map<string,bigint>",
 }
 
 
@@ -71,14 +76,24 @@ class H5ArraySource(DataSource):
         if table:
             return TABLES[table]
         r = self._reader()
-        d = r.dataset(r.find(self.options["dataset"]))
+        d = self._dataset(r)
         return array_schema(d, self.options.get("form", "long"), self._compat())
 
+    def _dataset(self, r: Reader) -> Dataset:
+        d, fields = r.dataset(r.find(self.options["dataset"])), self.options.get("fields")
+        if not fields:
+            return d
+        wanted, have = fields.split(","), [m[0] for m in d.type.members]
+        if not have or not set(wanted) <= set(have):
+            raise ValueError(f"the members are {have}, not {wanted}")
+        # The elements keep their size; members that are left out have no place in the numpy type.
+        return replace(d, type=replace(d.type, members=tuple(m for m in d.type.members if m[0] in wanted)))
+
     def reader(self, schema: T.StructType) -> DataSourceReader:
         if self.options.get("table"):
             return CatalogReader(self.options["path"], self.options["table"], schema)
         r = self._reader()
-        return ArrayReader(self.options["path"], r.dataset(r.find(self.options["dataset"])), self.options.get("form", "long"), self._compat(), schema, int(self.options.get("partition_bytes", TARGET_BYTES)), self.options.get("bounds"))
+        return ArrayReader(self.options["path"], self._dataset(r), self.options.get("form", "long"), self._compat(), schema, int(self.options.get("partition_bytes", TARGET_BYTES)), self.options.get("bounds"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return ArrayWriter(dict(self.options), schema, overwrite)
@@ -187,6 +202,12 @@ class CatalogReader(DataSourceReader):
         elif self.table == "links":
             for path, link, _ in r.walk():
                 yield path, path.rpartition("/")[0] or "/", link.name, link.kind, link.address, link.path, link.file
+        elif self.table == "named_types":
+            for path, _, header in r.walk():
+                if header is not None and header.kind == "datatype":
+                    t, _ = parse_type(r.message(header, 3))
+                    members = [{"name": n, "offset": at, "dtype": m.label, "size": m.size} for n, at, m in t.members]
+                    yield path, header.address, t.label, t.size, bool(t.signed), bool(t.big), members, {str(k): int(v) for k, v in dict(t.names).items()}
         elif self.table == "objects":
             yield self._object(r, "/", r.header(r.root))
             for path, _, header in r.walk():
@@ -231,51 +252,109 @@ class Written(WriterCommitMessage):
     rows: int
 
 
+def type_for(t: T.DataType) -> H5Type:
+    """The type that values of a Spark type are written as."""
+    numbers = {T.ByteType: integer(8), T.ShortType: integer(16), T.IntegerType: integer(32), T.LongType: integer(64), T.FloatType: floating("float32"), T.DoubleType: floating("float64"), T.BooleanType: integer(8)}
+    if type(t) in numbers:
+        return numbers[type(t)]
+    if isinstance(t, T.StringType):
+        return VLEN_STRING
+    if isinstance(t, T.BinaryType):
+        return vlen(integer(8, signed=False))
+    if isinstance(t, T.ArrayType):
+        return vlen(type_for(t.elementType))
+    if isinstance(t, T.StructType):
+        return compound({f.name: type_for(f.dataType) for f in t.fields})
+    raise ValueError(f"values of {t.simpleString()} can't be written")
+
+
+def empty_value(t: H5Type):
+    """What an element without a row is: zero, the empty string or sequence, members of these."""
+    if t.members:
+        return {n: empty_value(m) for n, _, m in t.members}
+    if t == VLEN_STRING or t.text:
+        return ""
+    return 0 if t.kind in (FIXED, FLOAT, ENUM) else [] if t.base is not None else b"\0" * t.size
+
+
 class ArrayWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path, self.dataset, self.overwrite = options["path"].removeprefix("file:"), options["dataset"], overwrite
         self.dims = [int(x) for x in options["dims"].split(",")]
-        self.type_name = options.get("dtype", "float64")
-        self.chunks = [int(x) for x in options["chunks"].split(",")] if options.get("chunks") else None
-        size = type_of(self.type_name).size
-        self.filters = filter_list(size, int(options["gzip"]) if options.get("gzip") else None, options.get("shuffle") == "true", options.get("fletcher32") == "true")
+        self.schema = schema
         names = [f.name for f in schema.fields]
         if names != [f"i{k}" for k in range(len(self.dims))] + ["value"]:
             raise ValueError(f"columns i0 … i{len(self.dims) - 1} and value are asked for, not {names}")
+        if options.get("enum"):
+            codes = {n: int(v) for n, _, v in (x.partition("=") for x in options["enum"].split(","))}
+            self.type = enum_of(type_of(options.get("dtype", "int32")), codes)
+        else:
+            self.type = type_of(options["dtype"]) if options.get("dtype") else type_for(schema["value"].dataType)
+        self.is_number = self.type.kind in (FIXED, FLOAT) and numpy_type(self.type).kind in "iuf" and not isinstance(schema["value"].dataType, (T.StringType, T.StructType, T.ArrayType, T.BinaryType, T.DecimalType))
+        self.chunks = [int(x) for x in options["chunks"].split(",")] if options.get("chunks") else None
+        self.filters = filter_list(self.type.size, int(options["gzip"]) if options.get("gzip") else None, options.get("shuffle") == "true", options.get("fletcher32") == "true")
         if not overwrite and os.path.exists(self.path):
-            raise FileExistsError(self.path)
+            r = Reader(opener(self.path))
+            try:
+                r.find(self.dataset)
+            except (KeyError, ValueError):
+                pass
+            else:
+                raise FileExistsError(f"{self.dataset} in {self.path}")
         self.staging = f"{self.path}.{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        places, values = [], []
+        """One Arrow file of (place, value) for a task, a batch at a time."""
+        file, rows, out = f"{self.staging}/{uuid.uuid4().hex}.arrow", 0, None
         for b in batches:
             coords = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(self.dims))]
             for c, d in zip(coords, self.dims, strict=True):
                 if len(c) and (c.min() < 0 or c.max() >= d):
                     raise ValueError("a coordinate is outside the array")
-            places.append(sum((c * s for c, s in zip(coords, strides(self.dims), strict=True)), np.zeros(b.num_rows, np.int64)))
-            values.append(b.column(len(self.dims)).to_numpy(zero_copy_only=False))
-        if not places or not sum(map(len, places)):
+            place = sum((c * s for c, s in zip(coords, strides(self.dims), strict=True)), np.zeros(b.num_rows, np.int64))
+            part = pa.RecordBatch.from_arrays([pa.array(place), b.column(len(self.dims))], names=["at", "value"])
+            if out is None:
+                os.makedirs(self.staging, exist_ok=True)
+                out = pa.OSFile(file, "wb")
+                sink = pa.ipc.new_file(out, part.schema)
+            sink.write_batch(part)
+            rows += b.num_rows
+        if out is None:
             return Written(None, 0)
-        os.makedirs(self.staging, exist_ok=True)
-        file = f"{self.staging}/{uuid.uuid4().hex}.npz"
-        np.savez(file, at=np.concatenate(places), value=np.concatenate(values).astype(numpy_type(type_of(self.type_name))))
-        return Written(file, sum(map(len, places)))
+        sink.close()
+        out.close()
+        return Written(file, rows)
 
-    def commit(self, messages: list[Written]) -> None:
-        dtype = numpy_type(type_of(self.type_name))
-        os.makedirs(self.staging, exist_ok=True)
-        raw = np.memmap(f"{self.staging}/raw", dtype=dtype, mode="w+", shape=tuple(self.dims))
+    def _parts(self, messages: list[Written]) -> Iterator[pa.RecordBatch]:
         for m in messages:
             if m is not None and m.file:
-                with np.load(m.file) as part:
-                    raw.reshape(-1)[part["at"]] = part["value"]
-        made = f"{self.staging}/file"
-        with Writer(made) as w:
+                with pa.memory_map(m.file) as source:
+                    reader = pa.ipc.open_file(source)
+                    for k in range(reader.num_record_batches):
+                        yield reader.get_batch(k)
+
+    def _values(self, messages: list[Written]):
+        if self.is_number:
+            raw = np.memmap(f"{self.staging}/raw", dtype=numpy_type(self.type), mode="w+", shape=tuple(self.dims))
+            for b in self._parts(messages):
+                raw.reshape(-1)[b.column(0).to_numpy()] = b.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            return raw
+        values = [empty_value(self.type)] * safe_product(self.dims)
+        for b in self._parts(messages):
+            for at, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if v is not None:
+                    values[at] = filled(v, self.type)
+        return values
+
+    def commit(self, messages: list[Written]) -> None:
+        os.makedirs(self.staging, exist_ok=True)
+        values, made = self._values(messages), f"{self.staging}/file"
+        with Writer.revise(self.path, made) if not self.overwrite and os.path.exists(self.path) else Writer(made) as w:
             parts = self.dataset.strip("/").split("/")
             for k in range(1, len(parts)):
-                w.group("/" + "/".join(parts[:k]))
-            w.dataset("/" + "/".join(parts), raw, type_of(self.type_name), chunks=self.chunks, filters=self.filters, max_dims=[None] * len(self.dims) if self.chunks else None)
+                if (group := "/" + "/".join(parts[:k])) not in w.nodes:
+                    w.group(group)
+            w.dataset("/" + "/".join(parts), values, self.type, dims=self.dims, chunks=self.chunks, filters=self.filters, max_dims=[None] * len(self.dims) if self.chunks else None)
         os.replace(made, self.path)
         shutil.rmtree(self.staging, ignore_errors=True)
 
@@ -283,6 +362,13 @@ class ArrayWriter(DataSourceArrowWriter):
         shutil.rmtree(self.staging, ignore_errors=True)
 
 
+def filled(value, t: H5Type):
+    """A value with what its null members are written as."""
+    if t.members:
+        return {n: empty_value(m) if value[n] is None else filled(value[n], m) for n, _, m in t.members}
+    return value
+
+
 def register(spark) -> None:
     spark.dataSource.register(H5ArraySource)
 
@@ -301,13 +387,69 @@ def scan(spark, path: str, dataset: str, selection: Hyperslab | None = None, ind
     return hyperslab(reader.option("bounds", bounds).load(), selection, dims, index)
 
 
-def chunk_iterator(spark, path: str, dataset: str, progress=None):
-    """Rows of allocated chunks one after another, in the order of their coordinates; progress(done, total) after each. Close it to stop."""
-    register(spark)
-    r = Reader(opener(path))
-    total = len(r.chunks(r.dataset(r.find(dataset))))
-    chunks = spark.read.format("h5array").options(path=path, dataset=dataset, form="chunks").load()
-    for k, row in enumerate(chunks.toLocalIterator(), 1):
-        yield row
-        if progress:
-            progress(k, total)
+class ChunkIterator:
+    """Rows of allocated chunks one after another, in the order of their coordinates.
+
+    progress(done, total) is called after each; ``reset`` starts anew, ``cancel`` ends it: no more chunks are read.
+    """
+
+    def __init__(self, spark, path: str, dataset: str, progress=None):
+        register(spark)
+        r = Reader(opener(path))
+        self.total, self.progress = len(r.chunks(r.dataset(r.find(dataset)))), progress
+        self.rows = spark.read.format("h5array").options(path=path, dataset=dataset, form="chunks").load()
+        self.cancelled = False
+        self.reset()
+
+    def reset(self) -> None:
+        if self.cancelled:
+            raise RuntimeError("the iteration was cancelled")
+        self.done, self.at = 0, self.rows.toLocalIterator()
+
+    def cancel(self) -> None:
+        self.cancelled, self.at = True, iter(())
+
+    def __iter__(self) -> ChunkIterator:
+        return self
+
+    def __next__(self):
+        row = next(self.at)
+        self.done += 1
+        if self.progress:
+            self.progress(self.done, self.total)
+        return row
+
+
+def chunk_iterator(spark, path: str, dataset: str, progress=None) -> ChunkIterator:
+    return ChunkIterator(spark, path, dataset, progress)
+
+
+def write_catalog(spark, path: str, links: DataFrame | None = None, attributes: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
+    """Change a file's tree: delete links (path) and attributes (path, name), add links and groups, put attributes in or in place of others.
+
+    links: path, link_type (group, hard, soft, external), target_path, target_file. attributes: path, name, value. deleted: path, and
+    name where an attribute is meant. The file is revised by a copy, which then replaces it; rows are read one after another, sorted by path.
+    """
+    made = f"{path}.{uuid.uuid4().hex}"
+    with Writer.revise(path, made) if os.path.exists(path) else Writer(made) as w:
+        if deleted is not None:
+            has_name = "name" in deleted.columns
+            for row in deleted.orderBy("path", ascending=False).toLocalIterator():
+                if has_name and row["name"] is not None:
+                    w.delete_attribute(row["path"], row["name"])
+                else:
+                    w.delete(row["path"])
+        if links is not None:
+            for row in links.orderBy("path").toLocalIterator():
+                if row["link_type"] == "group":
+                    w.group(row["path"])
+                elif row["link_type"] == "hard":
+                    w.hard_link(row["path"], row["target_path"])
+                elif row["link_type"] == "soft":
+                    w.soft_link(row["path"], row["target_path"])
+                else:
+                    w.external_link(row["path"], row["target_file"], row["target_path"])
+        if attributes is not None:
+            for row in attributes.orderBy("path", "name").toLocalIterator():
+                w.attribute(row["path"], row["name"], row["value"])
+    os.replace(made, path)
