@@ -4,12 +4,14 @@ A difference cover D modulo v holds, for any two positions, an offset d < v that
 whose remainder is in D. So if windows of W words are equal at two places, the anchor windows of W - v + 1
 words that start d words further in are equal too, and both start at cover positions. Only those (4 of 13
 positions at W = 20) are hashed and shuffled in the first pass. Where an anchor is found elsewhere, the
-second pass extends it: it hashes the whole windows around it (64 bits, and the bucket's bits), and the earliest place of each
-window keeps it. Windows are judged on the input: (doc id, start), smaller first, null ids first.
+second pass extends it: it hashes the whole windows around it (128 bits, which stand for the words: among N
+windows fewer than N^2 / 2^129 pairs are taken for equal wrongly, 10^-13 for N = 10^13), and the earliest place
+of each window keeps it. Windows are judged on the input: (doc id, start), smaller first, null ids first.
 
-Both passes pre-aggregate: what repeats within an Arrow batch is settled there, and one row of it goes on.
-Hashes and positions are shuffled as packed arrays, one for each batch and bucket; there is a bucket for each
-shuffle partition, and documents have buckets too, by their key.
+Both passes pre-aggregate: what repeats within an Arrow batch is settled there, and one row of it goes on, so a
+passage that a third of all documents share is a row for each batch. Hashes and positions are shuffled as packed
+arrays, one for each batch and bucket. There is a bucket for each shuffle partition, which a task holds whole:
+about three times the input over the number of shuffle partitions. Documents have buckets too, by their key.
 
 Cases: a null text has no words. Rows with one id and one text are one document: each gets its result, and
 they don't repeat each other. Rows with one id and several texts are ordered by the texts' hashes. A text of
@@ -38,6 +40,8 @@ COVERS = {13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
 LEAST_ANCHOR = 8
 #: How hard texts are compressed for the shuffle.
 TEXT_LEVEL = 3
+#: Positions that a task gathers before it sends them.
+MARKS_AT_ONCE = 1_000_000
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -170,28 +174,25 @@ def _anchors(schema: pa.Schema, window: int, names: np.ndarray) -> Callable:
 def _group_anchors(schema: pa.Schema, names: np.ndarray) -> Callable:
     """Positions of anchors that are found twice or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places = [], []
+    def settle(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, k, p, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        starts, sizes = _runs(h[order])
+        known = np.logical_or.reduceat(twice[order], starts)
+        hit = order[np.repeat((sizes > 1) | known, sizes)]
+        return k[hit], p[hit]
 
-        def settle(parts: list[list[np.ndarray]]) -> None:
-            h, k, p, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            starts, sizes = _runs(h[order])
-            known = np.logical_or.reduceat(twice[order], starts)
-            hit = order[np.repeat((sizes > 1) | known, sizes)]
-            keys.append(k[hit])
-            places.append(p[hit])
+    return lambda batches: _by_bucket(schema, names, batches, settle, (np.uint32, np.int64, np.uint32, np.bool_))
 
-        yield from _by_bucket(schema, batches, settle, (np.uint32, np.int64, np.uint32, np.bool_))
-        if keys and len(k := np.concatenate(keys)):
-            yield batch_of(schema, list(_marks_of(names, k, np.concatenate(places))))
 
-    return run
+def _by_bucket(schema: pa.Schema, names: np.ndarray, batches: Iterator[pa.RecordBatch], settle: Callable, types: tuple) -> Iterator[pa.RecordBatch]:
+    """Pass settled rows on; give the unpacked rows of each bucket to ``settle``, whose positions go to the documents' buckets. Rows come sorted by bucket."""
+    held, bucket, marks, n_marks = [], None, [], 0
 
+    def send() -> Iterator[pa.RecordBatch]:
+        if n_marks:
+            yield batch_of(schema, list(_marks_of(names, *(np.concatenate(x) for x in zip(*marks, strict=True)))))
 
-def _by_bucket(schema: pa.Schema, batches: Iterator[pa.RecordBatch], settle: Callable, types: tuple) -> Iterator[pa.RecordBatch]:
-    """Pass settled rows on; give the unpacked rows of each bucket to ``settle``. Rows come sorted by bucket."""
-    held, bucket = [], None
     for batch in batches:
         kind = batch.column(0).to_numpy()
         if (kind == 0).any():
@@ -201,12 +202,17 @@ def _by_bucket(schema: pa.Schema, batches: Iterator[pa.RecordBatch], settle: Cal
             if not is_hash:
                 continue
             if b != bucket and held:
-                settle(held)
-                held = []
+                marks.append(settle(held))
+                held, n_marks = [], n_marks + len(marks[-1][0])
+                if n_marks > MARKS_AT_ONCE:
+                    yield from send()
+                    marks, n_marks = [], 0
             bucket = b
             held.append(unpack(data.as_buffer(), *types))
     if held:
-        settle(held)
+        marks.append(settle(held))
+        n_marks += len(marks[-1][0])
+    yield from send()
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str, names: np.ndarray, carry: list[str]) -> DataFrame:
@@ -294,15 +300,15 @@ def _windows(schema: pa.Schema, window: int, names: np.ndarray) -> Callable:
             if not hashes:
                 continue
             h, i, k, p = (np.concatenate(x) for x in (hashes, ids, keys, places))
-            place = ((h[:, 1] >> np.uint64(32)) % np.uint64(len(names))).astype(np.int64)
-            first, rest = _earliest(h[:, 0], place, i, k, p)
-            yield from _hash_rows(schema, names, place[first], [h[first, 0], i[first], k[first], p[first]], (k[rest], p[rest]))
+            place = (h[:, 1] % np.uint64(len(names))).astype(np.int64)
+            first, rest = _earliest(h[:, 0], h[:, 1], i, k, p)
+            yield from _hash_rows(schema, names, place[first], [h[first, 0], h[first, 1], i[first], k[first], p[first]], (k[rest], p[rest]))
 
     return run
 
 
 def _earliest(h: np.ndarray, g: np.ndarray, i: np.ndarray, k: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the earliest place of each hash (in the order of documents), and of the others."""
+    """Indexes of the earliest place of each hash (two parts; in the order of documents), and of the others."""
     order = np.lexsort((p, k, i, g, h))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
@@ -311,20 +317,12 @@ def _earliest(h: np.ndarray, g: np.ndarray, i: np.ndarray, k: np.ndarray, p: np.
 
 
 def _group_windows(schema: pa.Schema, names: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places = [], []
-
-        def settle(parts: list[list[np.ndarray]]) -> None:
-            h, i, k, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, rest = _earliest(h, np.zeros(len(h), np.int64), i, k, p)
-            keys.append(k[rest])
-            places.append(p[rest])
+    def settle(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, g, i, k, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, rest = _earliest(h, g, i, k, p)
+        return k[rest], p[rest]
 
-        yield from _by_bucket(schema, batches, settle, (np.uint64, np.int64, np.int64, np.uint32))
-        if keys and len(k := np.concatenate(keys)):
-            yield batch_of(schema, list(_marks_of(names, k, np.concatenate(places))))
-
-    return run
+    return lambda batches: _by_bucket(schema, names, batches, settle, (np.uint64, np.uint64, np.int64, np.int64, np.uint32))
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
