@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lattica.operators import catalog
-from lattica.sources.h5array import register, scan, write_catalog
+from lattica.sources.h5array import register, scan, write_catalog, write_chunks
 from lattica.sources.h5types import OBJECT_REFERENCE, VLEN_STRING, compound, enum_of, fixed_string, floating, integer, type_of
 from lattica.sources.h5write import Writer, filter_list
 
@@ -31,8 +31,7 @@ def _folder(spark) -> str:
 def _written(spark, sf_dir) -> str:
     register(spark)
     path = f"{_folder(spark)}/embeddings.h5"
-    e = embeddings(spark, sf_dir)
-    e.write.format("h5array").options(dataset="/vectors/all", dims=",".join(map(str, extent(spark, sf_dir))), dtype="float32", chunks="60,10", gzip="6", shuffle="true", fletcher32="true").mode("overwrite").save(path)
+    write_chunks(embeddings(spark, sf_dir), path, "/vectors/all", list(extent(spark, sf_dir)), [60, 10], "float32", gzip=6, shuffle=True, fletcher32=True)
     return path
 
 
@@ -255,3 +254,30 @@ def source_named_types(spark, sf_dir):
         w.named_type("/kind", enum_of(integer(16), {"even": 0, "odd": 1}))
     t = spark.read.format("h5array").options(path=path, table="named_types").load()
     return t.select("path", F.explode_outer("members").alias("m"), F.col("size").alias("whole")).select("path", F.col("m.name").alias("member"), F.col("m.offset").alias("at"), F.coalesce("m.size", "whole").alias("size"))
+
+
+def _part_links(spark, sf_dir, superblock: int):
+    register(spark)
+    path = f"{_folder(spark)}/links{superblock}.h5"
+    p = table(spark, sf_dir, "part")
+    groups = p.select(F.concat(F.lit("/"), "p_brand")).distinct().toDF("path").withColumn("link_type", F.lit("group")).withColumn("target_path", F.lit(None).cast("string"))
+    links = p.select(F.concat(F.lit("/"), "p_brand", F.lit("/part-"), "p_partkey").alias("path"), F.lit("soft").alias("link_type"), F.concat(F.lit("/"), "p_name").alias("target_path"))
+    again = p.where("p_size > 25").select(F.concat(F.lit("/"), "p_brand", F.lit("/same-"), "p_partkey").alias("path"), F.lit("hard").alias("link_type"), F.concat(F.lit("/"), "p_brand").alias("target_path"))
+    write_catalog(spark, path, groups.union(links).union(again).withColumn("target_file", F.lit(None).cast("string")), superblock=superblock)
+    return spark.read.format("h5array").options(path=path, table="links").load().select("parent", "name", "link_type", "target_path")
+
+
+_PART_LINKS = """SELECT DISTINCT '/' AS parent, p_brand AS name, 'hard' AS link_type, NULL AS target_path FROM part UNION ALL SELECT '/' || p_brand, 'part-' || p_partkey, 'soft', '/' || p_name FROM part
+UNION ALL SELECT '/' || p_brand, 'same-' || p_partkey, 'hard', NULL FROM part WHERE p_size > 25"""
+
+
+@query(_PART_LINKS)
+def source_indexed_groups(spark, sf_dir):
+    """Groups of many links: these stand in a heap, with an index by hash."""
+    return _part_links(spark, sf_dir, 2)
+
+
+@query(_PART_LINKS)
+def source_old_groups(spark, sf_dir):
+    """The same links in an old file, in tables of names."""
+    return _part_links(spark, sf_dir, 0)

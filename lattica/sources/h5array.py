@@ -14,6 +14,8 @@ binary, arrays (sequences) and structs of these (compounds). ``enum`` ("name=cod
 Mode overwrite makes the file anew; append adds the dataset to a copy of the file, which then replaces it.
 Tasks write their elements to part files beside the target; the commit places them and writes the file, so that
 step is one process whose time grows with the file. Elements without a row are zero, empty or null members.
+Numbers in chunks are better written by :func:`write_chunks`: tasks make whole chunks and apply the filters, and
+the commit only puts their bytes one after the other and adds the index.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lattica.functions.codecs import encode
 from lattica.functions.shapes import safe_product, strides
+from lattica.operators.layout import with_chunks
 from lattica.operators.selection import Hyperslab, hyperslab
 
 from .h5read import Chunk, Dataset, Reader, opener
@@ -282,15 +287,17 @@ class ArrayWriter(DataSourceArrowWriter):
         self.path, self.dataset, self.overwrite = options["path"].removeprefix("file:"), options["dataset"], overwrite
         self.dims = [int(x) for x in options["dims"].split(",")]
         self.schema = schema
-        names = [f.name for f in schema.fields]
-        if names != [f"i{k}" for k in range(len(self.dims))] + ["value"]:
+        names, self.whole_chunks = [f.name for f in schema.fields], options.get("form") == "chunks"
+        if self.whole_chunks and (names != ["chunk", "data"] or not options.get("chunks") or not options.get("dtype")):
+            raise ValueError("whole chunks have columns chunk and data, and options chunks and dtype")
+        if not self.whole_chunks and names != [f"i{k}" for k in range(len(self.dims))] + ["value"]:
             raise ValueError(f"columns i0 … i{len(self.dims) - 1} and value are asked for, not {names}")
         if options.get("enum"):
             codes = {n: int(v) for n, _, v in (x.partition("=") for x in options["enum"].split(","))}
             self.type = enum_of(type_of(options.get("dtype", "int32")), codes)
         else:
             self.type = type_of(options["dtype"]) if options.get("dtype") else type_for(schema["value"].dataType)
-        self.is_number = self.type.kind in (FIXED, FLOAT) and numpy_type(self.type).kind in "iuf" and not isinstance(schema["value"].dataType, (T.StringType, T.StructType, T.ArrayType, T.BinaryType, T.DecimalType))
+        self.is_number = not self.whole_chunks and self.type.kind in (FIXED, FLOAT) and numpy_type(self.type).kind in "iuf" and not isinstance(schema["value"].dataType, (T.StringType, T.StructType, T.ArrayType, T.BinaryType, T.DecimalType))
         self.chunks = [int(x) for x in options["chunks"].split(",")] if options.get("chunks") else None
         self.filters = filter_list(self.type.size, int(options["gzip"]) if options.get("gzip") else None, options.get("shuffle") == "true", options.get("fletcher32") == "true")
         if not overwrite and os.path.exists(self.path):
@@ -307,6 +314,13 @@ class ArrayWriter(DataSourceArrowWriter):
         """One Arrow file of (place, value) for a task, a batch at a time."""
         file, rows, out = f"{self.staging}/{uuid.uuid4().hex}.arrow", 0, None
         for b in batches:
+            if self.whole_chunks:
+                part = pa.RecordBatch.from_arrays(b.columns, names=["chunk", "data"])
+                if out is None:
+                    out, sink = self._open(file, part.schema)
+                sink.write_batch(part)
+                rows += b.num_rows
+                continue
             coords = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(self.dims))]
             for c, d in zip(coords, self.dims, strict=True):
                 if len(c) and (c.min() < 0 or c.max() >= d):
@@ -314,9 +328,7 @@ class ArrayWriter(DataSourceArrowWriter):
             place = sum((c * s for c, s in zip(coords, strides(self.dims), strict=True)), np.zeros(b.num_rows, np.int64))
             part = pa.RecordBatch.from_arrays([pa.array(place), b.column(len(self.dims))], names=["at", "value"])
             if out is None:
-                os.makedirs(self.staging, exist_ok=True)
-                out = pa.OSFile(file, "wb")
-                sink = pa.ipc.new_file(out, part.schema)
+                out, sink = self._open(file, part.schema)
             sink.write_batch(part)
             rows += b.num_rows
         if out is None:
@@ -325,6 +337,11 @@ class ArrayWriter(DataSourceArrowWriter):
         out.close()
         return Written(file, rows)
 
+    def _open(self, file: str, schema: pa.Schema):
+        os.makedirs(self.staging, exist_ok=True)
+        out = pa.OSFile(file, "wb")
+        return out, pa.ipc.new_file(out, schema)
+
     def _parts(self, messages: list[Written]) -> Iterator[pa.RecordBatch]:
         for m in messages:
             if m is not None and m.file:
@@ -348,13 +365,21 @@ class ArrayWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written]) -> None:
         os.makedirs(self.staging, exist_ok=True)
-        values, made = self._values(messages), f"{self.staging}/file"
+        made = f"{self.staging}/file"
         with Writer.revise(self.path, made) if not self.overwrite and os.path.exists(self.path) else Writer(made) as w:
             parts = self.dataset.strip("/").split("/")
             for k in range(1, len(parts)):
                 if (group := "/" + "/".join(parts[:k])) not in w.nodes:
                     w.group(group)
-            w.dataset("/" + "/".join(parts), values, self.type, dims=self.dims, chunks=self.chunks, filters=self.filters, max_dims=[None] * len(self.dims) if self.chunks else None)
+            path, limits = "/" + "/".join(parts), [None] * len(self.dims) if self.chunks else None
+            if self.whole_chunks:
+                node = w.layout(path, self.type, self.dims, self.chunks, self.filters, limits)
+                for b in self._parts(messages):
+                    for at, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                        raw = data.as_buffer()
+                        node["index"].append((tuple(k * c for k, c in zip(at, self.chunks, strict=True)), raw.size, w.append(raw)))
+            else:
+                w.dataset(path, self._values(messages), self.type, dims=self.dims, chunks=self.chunks, filters=self.filters, max_dims=limits)
         os.replace(made, self.path)
         shutil.rmtree(self.staging, ignore_errors=True)
 
@@ -369,6 +394,31 @@ def filled(value, t: H5Type):
     return value
 
 
+def write_chunks(df: DataFrame, path: str, dataset: str, dims: list[int], chunks: list[int], dtype: str, mode: str = "overwrite", gzip: int | None = None, shuffle: bool = False, fletcher32: bool = False) -> None:
+    """Write numbers (i0, i1, …, value) in chunks: rows meet by chunk, and each task encodes its chunks whole. Chunks without a row are not written."""
+    register(df.sparkSession)
+    kind, n = type_of(dtype), len(dims)
+    filters, order = filter_list(kind.size, gzip, shuffle, fletcher32), numpy_type(kind)
+    inner = strides(chunks)
+    place = F.lit(0).cast("long")
+    for k in range(n):
+        place = place + (F.col(f"i{k}") % chunks[k]) * inner[k]
+    names = [f"c{k}" for k in range(n)]
+    met = with_chunks(df, chunks).groupBy(*names).agg(F.collect_list(F.struct(place.alias("at"), F.col("value").alias("v"))).alias("x"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                x = b.column(1)[row].values
+                whole = np.zeros(safe_product(chunks), dtype=order)
+                whole[x.field("at").to_numpy()] = x.field("v").fill_null(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), pa.array([encode(whole.tobytes(), filters)], pa.binary())], names=["chunk", "data"])
+
+    rows = met.select(F.array(*[F.col(c).cast("long") for c in names]).alias("chunk"), "x").mapInArrow(encoded, "chunk array<bigint>, data binary")
+    options = {"dataset": dataset, "dims": ",".join(map(str, dims)), "chunks": ",".join(map(str, chunks)), "dtype": dtype, "form": "chunks", "shuffle": str(shuffle).lower(), "fletcher32": str(fletcher32).lower()}
+    rows.write.format("h5array").options(**options, **({"gzip": str(gzip)} if gzip else {})).mode(mode).save(path)
+
+
 def register(spark) -> None:
     spark.dataSource.register(H5ArraySource)
 
@@ -424,14 +474,14 @@ def chunk_iterator(spark, path: str, dataset: str, progress=None) -> ChunkIterat
     return ChunkIterator(spark, path, dataset, progress)
 
 
-def write_catalog(spark, path: str, links: DataFrame | None = None, attributes: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
+def write_catalog(spark, path: str, links: DataFrame | None = None, attributes: DataFrame | None = None, deleted: DataFrame | None = None, superblock: int = 2) -> None:
     """Change a file's tree: delete links (path) and attributes (path, name), add links and groups, put attributes in or in place of others.
 
     links: path, link_type (group, hard, soft, external), target_path, target_file. attributes: path, name, value. deleted: path, and
     name where an attribute is meant. The file is revised by a copy, which then replaces it; rows are read one after another, sorted by path.
     """
     made = f"{path}.{uuid.uuid4().hex}"
-    with Writer.revise(path, made) if os.path.exists(path) else Writer(made) as w:
+    with Writer.revise(path, made, superblock) if os.path.exists(path) else Writer(made, superblock=superblock) as w:
         if deleted is not None:
             has_name = "name" in deleted.columns
             for row in deleted.orderBy("path", ascending=False).toLocalIterator():

@@ -1,7 +1,8 @@
 """Writing the array file format: one pass that appends raw data, then headers, then the superblock.
 
-Groups keep their links as messages of a version 2 header, datasets are contiguous or chunked with a version 1
-chunk index, variable-length values go to heap collections. Edge chunks are stored whole, padded.
+Few links and attributes are messages of a version 2 header, many stand in a heap with an index; old files have
+tables of names instead. Datasets are contiguous or chunked with a version 1 chunk index, variable-length values go
+to heap collections. Edge chunks are stored whole, padded.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 from lattica.functions.codecs import DEFLATE, FLETCHER32, LZF, NAMES, SHUFFLE, decode, encode, lookup3
 from lattica.functions.shapes import LIMIT_CHUNK_BYTES, LIMIT_STRING_BYTES, chunk_counts, safe_product
 
+from .h5index import ATTRIBUTES_BY_NAME, LEAF_ENTRIES, LINKS_BY_NAME, NODE_CHILDREN, write_names, write_table
 from .h5read import SIGNATURE, UNDEFINED, Reader, opener
 from .h5types import ARRAY, COMPOUND, ENUM, FIXED, FLOAT, OPAQUE, REFERENCE, STRING, VLEN, VLEN_STRING, FormatError, H5Type, encode_type, floating, integer, numpy_type, parse_type
 
@@ -76,13 +78,17 @@ class _Collection:
 
 
 class Writer:
-    """A file under construction; ``close`` writes the headers. mode: "w" replaces, "x" must not exist."""
+    """A file under construction; ``close`` writes the headers. mode: "w" replaces, "x" must not exist.
 
-    def __init__(self, path: str, mode: str = "w", superblock: int = 2):
-        if superblock not in (2, 3):
-            raise ValueError("superblock versions 2 and 3 can be written")
-        self.file, self.version = open(path, mode + "b"), superblock
-        self.file.write(b"\0" * 48)
+    Groups and objects of more than ``compact`` links or attributes have these in a heap with an index by hash; fewer stand in the
+    header. Superblock 0 makes an old file: headers of the first version, groups with tables of names, all attributes in the header.
+    """
+
+    def __init__(self, path: str, mode: str = "w", superblock: int = 2, compact: int = 8):
+        if superblock not in (0, 2, 3):
+            raise ValueError("superblock versions 0, 2 and 3 can be written")
+        self.file, self.version, self.compact = open(path, mode + "b"), superblock, compact
+        self.file.write(b"\0" * 96)
         self.nodes: dict[str, dict] = {"/": {"kind": "group", "attrs": {}, "links": {}}}
         self.heap: _Collection | None = None
 
@@ -93,12 +99,12 @@ class Writer:
         self.close() if kind is None else self.file.close()
 
     @classmethod
-    def revise(cls, source: str, target: str, superblock: int = 2) -> Writer:
+    def revise(cls, source: str, target: str, superblock: int = 2, compact: int = 8) -> Writer:
         """A writer of a new file that starts as a copy of another: files are never changed in place.
 
         Raw chunks are copied as they are; values that refer to a heap are read and written anew.
         """
-        r, w = Reader(opener(source)), cls(target, superblock=superblock)
+        r, w = Reader(opener(source)), cls(target, superblock=superblock, compact=compact)
         paths = {r.root: "/"}
         w._copy_attributes(r, "/", r.header(r.root))
         for path, link, header in r.walk():
@@ -195,6 +201,8 @@ class Writer:
         parent["links"][name] = ("soft", target)
 
     def external_link(self, path: str, file: str, target: str) -> None:
+        if not self.version:
+            raise ValueError("an old file has no external links")
         if not file or ".." in file.replace("\\", "/").split("/"):
             raise ValueError(f"not a file name for an external link: {file}")
         parent, name = self._place(path)
@@ -283,6 +291,19 @@ class Writer:
         node["index"] = [x for x in node["index"] if all(o < d for o, d in zip(x[0], dims, strict=True))]
         node["dims"] = tuple(dims)
 
+    def raw(self, path: str, data: bytes) -> None:
+        """The bytes of a contiguous dataset, as they are to stand in the file; they replace those that it has."""
+        node = self.nodes[path]
+        if node["kind"] != "dataset" or node["chunks"] or refers(node["type"]):
+            raise ValueError(f"{path} is no contiguous dataset of plain values")
+        if len(data) != safe_product(node["dims"]) * node["type"].size:
+            raise ValueError(f"{len(data)} bytes for a shape of {safe_product(node['dims']) * node['type'].size}")
+        node["address"], node["nbytes"] = self.append(data), len(data)
+
+    def put(self, at: int, data: bytes) -> None:
+        self.file.seek(at)
+        self.file.write(data)
+
     # Values
 
     def encode(self, t: H5Type, values) -> bytes:
@@ -358,12 +379,14 @@ class Writer:
         raw, kind, space = name.encode() + b"\0", encode_type(t), self._space(dims)
         return struct.pack("<BBHHHB", 3, 0, len(raw), len(kind), len(space), 1) + raw + kind + space + data
 
-    def _header(self, messages: list[tuple[int, bytes]]) -> bytes:
-        body = b""
-        for kind, data in messages:
-            if len(data) > 65_535:
-                raise ValueError("a header message is over 64 KiB")
-            body += struct.pack("<BHB", kind, len(data), 0) + data
+    def _header(self, messages: list[tuple[int, bytes]], references: int = 1) -> bytes:
+        if any(len(data) > 65_528 for _, data in messages):
+            raise ValueError("a header message is over 64 KiB")
+        if not self.version:
+            padded = [(kind, data.ljust(-(-len(data) // 8) * 8, b"\0")) for kind, data in messages]
+            body = b"".join(struct.pack("<HHBxxx", kind, len(data), 0) + data for kind, data in padded)
+            return struct.pack("<BxHII4x", 1, len(messages), max(1, references), len(body)) + body
+        body = b"".join(struct.pack("<BHB", kind, len(data), 0) + data for kind, data in messages)
         out = b"OHDR\x02\x02" + struct.pack("<I", len(body)) + body
         return out + struct.pack("<I", lookup3(out))
 
@@ -393,34 +416,54 @@ class Writer:
             level, nodes = level + 1, above
 
     def close(self) -> None:
-        sizes = {p: len(self._header(self._messages(p, {}))) for p in self.nodes}
+        sizes = {p: len(self._header(self._messages(p, {}, {}))) for p in self.nodes}
         for node in self.nodes.values():
             if node.get("chunks"):
                 node["address"] = self._index(node["index"], len(node["dims"]), node["chunks"])
         places = {p: self.append(b"\0" * n) for p, n in sizes.items()}
+        # Links name the places of headers, so heaps and tables come after these.
+        indexes = {p: self._indexes(node, places) for p, node in self.nodes.items()}
         for p, at in places.items():
-            self.file.seek(at)
-            self.file.write(self._header(self._messages(p, places)))
+            self.put(at, self._header(self._messages(p, places, indexes), self._references(p)))
         self.file.seek(0, 2)
         end = self.file.tell()
-        head = SIGNATURE + bytes([self.version, 8, 8, 0]) + struct.pack("<QQQQ", 0, UNDEFINED, end, places["/"])
-        self.file.seek(0)
-        self.file.write(head + struct.pack("<I", lookup3(head)))
+        if self.version:
+            head = SIGNATURE + bytes([self.version, 8, 8, 0]) + struct.pack("<QQQQ", 0, UNDEFINED, end, places["/"])
+            self.put(0, head + struct.pack("<I", lookup3(head)))
+        else:
+            root = struct.pack("<QQII", 0, places["/"], 1, 0) + struct.pack("<QQ", *indexes["/"]["table"])
+            self.put(0, SIGNATURE + bytes([0, 0, 0, 0, 0, 8, 8, 0]) + struct.pack("<HHI", LEAF_ENTRIES // 2, NODE_CHILDREN // 2, 0) + struct.pack("<QQQQ", 0, UNDEFINED, end, UNDEFINED) + root)
         self.file.close()
 
-    def _messages(self, path: str, places: dict[str, int]) -> list[tuple[int, bytes]]:
-        node, out = self.nodes[path], []
-        if node["kind"] == "group":
-            out += [(2, struct.pack("<BBQQ", 0, 0, UNDEFINED, UNDEFINED)), (10, b"\0\0")]
-            for name, link in sorted(node["links"].items(), key=lambda x: x[0].encode()):
-                raw = name.encode()
-                kind = {"hard": 0, "soft": 1, "external": 64}[link[0]]
-                head = bytes([1, 0x1A, kind, 1]) + struct.pack("<I", len(raw)) + raw
-                if kind == 0:
-                    out.append((6, head + struct.pack("<Q", places.get(link[1], 0))))
-                else:
-                    value = link[1].encode() if kind == 1 else b"\0" + link[1].encode() + b"\0" + link[2].encode() + b"\0"
-                    out.append((6, head + struct.pack("<H", len(value)) + value))
+    def _indexes(self, node: dict, places: dict[str, int]) -> dict[str, tuple[int, int]]:
+        """Where a node's indexes of links and attributes are, or its table of names."""
+        out, links = {}, node.get("links")
+        if links is not None and not self.version:
+            out["table"] = write_table(self.append, self.put, {n: (places.get(x[1], 0), None) if x[0] == "hard" else (0, x[1]) for n, x in links.items()})
+        elif links is not None and len(links) > self.compact:
+            out["links"] = write_names(self.append, self.put, {n: self._link(n, x, places) for n, x in links.items()}, LINKS_BY_NAME)
+        if self.version and len(node["attrs"]) > self.compact:
+            out["attributes"] = write_names(self.append, self.put, {n: self._attribute(n, *x) for n, x in node["attrs"].items()}, ATTRIBUTES_BY_NAME)
+        return out
+
+    @staticmethod
+    def _link(name: str, link: tuple, places: dict[str, int]) -> bytes:
+        raw, kind = name.encode(), {"hard": 0, "soft": 1, "external": 64}[link[0]]
+        head = bytes([1, 0x1A, kind, 1]) + struct.pack("<I", len(raw)) + raw
+        if kind == 0:
+            return head + struct.pack("<Q", places.get(link[1], 0))
+        value = link[1].encode() if kind == 1 else b"\0" + link[1].encode() + b"\0" + link[2].encode() + b"\0"
+        return head + struct.pack("<H", len(value)) + value
+
+    def _messages(self, path: str, places: dict[str, int], indexes: dict[str, dict[str, tuple[int, int]]]) -> list[tuple[int, bytes]]:
+        node, out, found = self.nodes[path], [], indexes.get(path, {})
+        nowhere = (UNDEFINED, UNDEFINED)
+        if node["kind"] == "group" and not self.version:
+            out.append((17, struct.pack("<QQ", *found.get("table", nowhere))))
+        elif node["kind"] == "group":
+            out += [(2, struct.pack("<BBQQ", 0, 0, *found.get("links", nowhere))), (10, b"\0\0")]
+            if len(node["links"]) <= self.compact:
+                out += [(6, self._link(n, x, places)) for n, x in sorted(node["links"].items(), key=lambda x: x[0].encode())]
         else:
             out.append((3, encode_type(node["type"])))
         if node["kind"] == "dataset":
@@ -439,7 +482,10 @@ class Writer:
                     parts += struct.pack("<H", kind) + (struct.pack("<H", len(name)) if kind >= 256 else b"") + struct.pack("<HH", 0, len(values)) + name + struct.pack(f"<{len(values)}I", *values)
                 out.append((11, bytes([2, len(node["filters"])]) + parts))
         references = self._references(path)
-        if references > 1:
+        if references > 1 and self.version:
             out.append((22, struct.pack("<BI", 0, references)))
-        out += [(12, self._attribute(n, *a)) for n, a in node["attrs"].items()]
+        if self.version and len(node["attrs"]) > self.compact:
+            out.append((21, struct.pack("<BBQQ", 0, 0, *found.get("attributes", nowhere))))
+        else:
+            out += [(12, self._attribute(n, *a)) for n, a in node["attrs"].items()]
         return out

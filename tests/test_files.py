@@ -330,3 +330,68 @@ def test_writing_from_spark(spark, tmp_path):
         write("append")
     with pytest.raises(Exception, match="outside"):
         write("overwrite", df.withColumn("i1", F.col("i1") + 1))
+
+
+@pytest.mark.parametrize("n", [1, 8, 9, 20, 300, 3000])
+def test_many_links_and_attributes(tmp_path, n):
+    """Indexes of one to three levels, heaps of one block and of several rows."""
+    names = [f"name {k} {'x' * (k % 40)}é" for k in range(n)]
+    with Writer(str(tmp_path / "many.h5")) as w:
+        w.group("/g")
+        w.dataset("/d", [7], t.integer(16), dims=(1,))
+        for k, name in enumerate(names):
+            if k % 3 == 0:
+                w.soft_link(f"/g/{name}", f"/target {k}")
+            elif k % 3 == 1:
+                w.hard_link(f"/g/{name}", "/d")
+            else:
+                w.external_link(f"/g/{name}", "other.h5", f"/x{k}")
+            w.attribute("/d", name, [k, k + 1])
+    r = Reader(opener(str(tmp_path / "many.h5")))
+    links = r.links(r.find("/g"))
+    assert [x.name for x in links] == sorted(names, key=str.encode)
+    by = {x.name: x for x in links}
+    for k, name in enumerate(names):
+        assert (by[name].kind, by[name].path) == (("soft", f"/target {k}"), ("hard", None), ("external", f"/x{k}"))[k % 3]
+    assert {a.name: r.attribute_value(a) for a in r.attributes(r.find("/d"))} == {name: [k, k + 1] for k, name in enumerate(names)}
+    if n > 1:
+        assert r.array(f"/g/{names[1]}").tolist() == [7]
+    hashes = [int.from_bytes(x[:4], "little") for i in r.find("/g").of(2) if n > 8 for x in r.tree_records(struct.unpack_from("<Q", i, 10)[0])]
+    assert hashes == sorted(hashes) and len(hashes) == (n if n > 8 else 0)
+
+
+@pytest.mark.parametrize("n", [0, 5, 9, 700])
+def test_old_files_are_written(tmp_path, n):
+    old, new = str(tmp_path / "old.h5"), str(tmp_path / "new.h5")
+    with Writer(old, superblock=0) as w:
+        w.group("/g")
+        w.group("/g/sub")
+        w.dataset("/g/sub/c", A, t.integer(32), chunks=(10, 10), filters=filter_list(4, 6, True, True))
+        w.dataset("/text", ["a", "bcd"], t.VLEN_STRING, dims=(2,))
+        w.hard_link("/again", "/g/sub/c")
+        w.soft_link("/soft", "/g/sub/c")
+        for k in range(n):
+            w.dataset(f"/g/n{k}", [k], t.integer(32), dims=(1,))
+            w.attribute("/g", f"a{k}", k)
+        with pytest.raises(ValueError):
+            w.external_link("/e", "f.h5", "/x")
+    r = Reader(opener(old))
+    assert r.version == 0 and (r.array("/soft") == A).all() and (r.array("/again") == A).all() and values(r, "/text") == ["a", "bcd"]
+    assert [x.name for x in r.links(r.find("/g"))] == sorted([f"n{k}" for k in range(n)] + ["sub"])
+    assert all(r.array(f"/g/n{k}").tolist() == [k] for k in range(0, n, 50))
+    assert {a.name: r.attribute_value(a) for a in r.attributes(r.find("/g"))} == {f"a{k}": k for k in range(n)}
+    Writer.revise(old, new).close()
+    back = Reader(opener(new))
+    assert back.version == 2 and {p for p, _, _ in back.walk()} == {p for p, _, _ in r.walk()} and (back.array("/soft") == A).all()
+
+
+def test_raw_bytes(tmp_path):
+    path = str(tmp_path / "raw.h5")
+    with Writer(path) as w:
+        w.dataset("/d", [0, 0, 0], t.integer(16), dims=(3,))
+        w.dataset("/s", ["a"], t.VLEN_STRING, dims=(1,))
+        w.raw("/d", struct.pack("<3h", 5, -6, 7))
+        for bad in (("/d", b"123"), ("/s", b"\0" * 16)):
+            with pytest.raises(ValueError):
+                w.raw(*bad)
+    assert Reader(opener(path)).array("/d").tolist() == [5, -6, 7]

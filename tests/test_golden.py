@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.operators.layout import resize
 from lattica.operators.selection import Hyperslab
 from lattica.sources import h5types as t
-from lattica.sources.h5array import ChunkIterator, register, scan
+from lattica.sources.h5array import ChunkIterator, register, scan, write_chunks
 from lattica.sources.h5read import Reader, opener
 from lattica.sources.h5write import Writer, filter_list
 
@@ -175,3 +175,16 @@ def test_writes_of_frames(spark, tmp_path):
             put(df, d, 6)
     r = Reader(opener(path))
     assert sorted(p for p, _, _ in r.walk()) == ["/bytes", "/g", "/g/rows", "/g/text", "/squares"]
+
+
+def test_chunks_that_tasks_encode(spark, tmp_path):
+    """Edge chunks, chunks without a row, null values, another byte order, and a dataset added to a file."""
+    path = str(tmp_path / "chunks.h5")
+    df = spark.range(23 * 17).select((F.col("id") / 17).cast("long").alias("i0"), (F.col("id") % 17).alias("i1"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("value")).where("not (i0 < 4 and i1 < 5)")
+    write_chunks(df, path, "/a/b", [23, 17], [4, 5], "int32", gzip=6, shuffle=True, fletcher32=True)
+    write_chunks(df.withColumn("value", F.col("value") / 2), path, "/c", [23, 17], [10, 17], "float64", mode="append")
+    want = {(k // 17, k % 17): k if k % 5 and not (k // 17 < 4 and k % 17 < 5) else 0 for k in range(23 * 17)}
+    assert {(r["i0"], r["i1"]): r["value"] for r in scan(spark, path, "/a/b").collect()} == want
+    assert {(r["i0"], r["i1"]): r["value"] for r in scan(spark, path, "/c").collect()} == {k: v / 2 for k, v in want.items()}
+    r = Reader(opener(path))
+    assert len(r.chunks(r.dataset(r.find("/a/b")))) == 6 * 4 - 1
