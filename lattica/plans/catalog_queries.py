@@ -122,11 +122,11 @@ def heap_lookup_join(spark, sf_dir):
     return refs.join(heap, ["collection", "index"]).select("o_orderkey", "index", "data")
 
 
-@query("""WITH free AS (SELECT doc_id * 100000 AS "at", n_chars AS size FROM documents WHERE doc_id % 3 = 0), req AS (SELECT page_id AS id, length(html)::BIGINT AS wanted FROM pages)
+@query("""WITH free AS (SELECT doc_id * 100000 AS "at", n_chars AS size FROM documents), req AS (SELECT page_id AS id, length(html)::BIGINT AS wanted FROM pages)
 SELECT id, wanted, (SELECT min("at") FROM free WHERE size = b) AS "at", b AS block_size FROM (SELECT id, wanted, (SELECT min(size) FROM free WHERE size >= wanted) AS b FROM req)""")
 def best_fit_alloc(spark, sf_dir):
     """For each request the least block that holds it."""
-    free = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select((F.col("doc_id") * 100000).alias("at"), F.col("n_chars").alias("size"))
+    free = table(spark, sf_dir, "documents").select((F.col("doc_id") * 100000).alias("at"), F.col("n_chars").alias("size"))
     want = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.length("html").cast("long").alias("size"))
     return space.best_fit(want, free)
 
@@ -149,3 +149,10 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY file ORDER BY "at", size ROWS UNBOUNDE
 SELECT file, min("at") AS "at", max("at" + size) - min("at") AS size, count(*) AS blocks FROM r GROUP BY file, run""")
 def free_coalesce(spark, sf_dir):
     return space.coalesced(_blocks(spark, sf_dir))
+
+
+@query(f"SELECT file, count(*) FILTER (2000 < \"at\" + size AND \"at\" < 2100) AS touching, count(*) FILTER (2000 < \"at\" + size AND \"at\" < 2100) > 0 AS allocated FROM {BLOCKS} b GROUP BY file")
+def range_allocated(spark, sf_dir):
+    """Whether a range of each file is allocated, and by how many blocks."""
+    hit = space.is_allocated(F.col("at"), F.col("size"), F.lit(2000), F.lit(100))
+    return _blocks(spark, sf_dir).groupBy("file").agg(F.count_if(hit).alias("touching")).withColumn("allocated", F.col("touching") > 0)

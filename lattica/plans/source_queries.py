@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from lattica.operators import catalog
-from lattica.sources.h5array import register, scan, write_catalog, write_chunks
-from lattica.sources.h5types import OBJECT_REFERENCE, VLEN_STRING, compound, enum_of, fixed_string, floating, integer, type_of
+from lattica.sources.h5array import regions, register, scan, write_catalog, write_chunks
+from lattica.sources.h5types import OBJECT_REFERENCE, REGION_REFERENCE, VLEN_STRING, compound, enum_of, fixed_string, floating, integer, type_of
 from lattica.sources.h5write import Writer, filter_list
 
 from .array_queries import SLAB, SLAB_INDEX, SLAB_WHERE
@@ -281,3 +281,23 @@ def source_indexed_groups(spark, sf_dir):
 def source_old_groups(spark, sf_dir):
     """The same links in an old file, in tables of names."""
     return _part_links(spark, sf_dir, 0)
+
+
+@query("""SELECT n_nationkey::BIGINT AS i0, '/grid' AS path, [n_nationkey, 0]::BIGINT[] AS lo, [n_nationkey + 2, n_regionkey]::BIGINT[] AS hi FROM nation
+UNION ALL SELECT n_nationkey, '/grid', [40, 5]::BIGINT[], [40, 5]::BIGINT[] FROM nation WHERE n_nationkey % 2 = 1""")
+def source_regions(spark, sf_dir):
+    """References to blocks of a dataset, resolved to its path and the blocks."""
+    register(spark)
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+
+    def write(path: str, address: int) -> int:
+        with Writer(path) as w:
+            w.dataset("/grid", [0.0] * 300, floating("float32"), dims=(50, 6))
+            blocks = [[((r["n_nationkey"], 0), (r["n_nationkey"] + 2, r["n_regionkey"]))] + [((40, 5), (40, 5))] * (r["n_nationkey"] % 2) for r in rows]
+            w.dataset("/refs", [w.region_reference(address, b) for b in blocks], REGION_REFERENCE, dims=(len(rows),))
+        return spark.read.format("h5array").options(path=path, table="objects").load().where("path = '/grid'").first()["address"]
+
+    # The same file written again has its headers at the same places.
+    write(f"{folder}/regions.h5", write(f"{folder}/base.h5", 1))
+    return regions(spark, f"{folder}/regions.h5", "/refs")

@@ -13,7 +13,7 @@ def session(master: str | None = None, name: str = "lattica", **conf: str) -> Sp
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    own = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    own = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     return builder.config(map=own | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 

@@ -503,3 +503,20 @@ def write_catalog(spark, path: str, links: DataFrame | None = None, attributes:
             for row in attributes.orderBy("path", "name").toLocalIterator():
                 w.attribute(row["path"], row["name"], row["value"])
     os.replace(made, path)
+
+
+def regions(spark, path: str, dataset: str) -> DataFrame:
+    """The blocks that region references stand for: the reference's coordinates (i0, …), the path of its dataset, and each block's first and last element."""
+    refs = scan(spark, path, dataset)
+    objects = spark.read.format("h5array").options(path=path, table="objects").load().select("path", "address")
+    axes = [c for c in refs.columns if c != "value"]
+    out = T.StructType([*[refs.schema[c] for c in axes], T.StructField("address", T.LongType()), T.StructField("lo", T.ArrayType(T.LongType())), T.StructField("hi", T.ArrayType(T.LongType()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Reader(opener(path))
+        for b in batches:
+            rows = [(*place, address, list(lo), list(hi)) for *place, raw in zip(*(c.to_pylist() for c in b.columns), strict=True) for address, blocks in [r.region(raw)] for lo, hi in blocks]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), to_arrow_schema(out), strict=True)], schema=to_arrow_schema(out))
+
+    return refs.mapInArrow(read, out).join(objects, "address", "left").select(*axes, "path", "lo", "hi")

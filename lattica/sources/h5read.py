@@ -511,6 +511,19 @@ class Reader:
             raise FormatError(f"no object {index} in the heap at {address}")
         return known[index]
 
+    def region(self, raw: bytes) -> tuple[int, list[tuple[tuple[int, ...], tuple[int, ...]]]]:
+        """What a region reference stands for: the address of a dataset, and blocks of it (first and last element; points are blocks of one)."""
+        address, index = self._int(raw, 0), struct.unpack_from("<I", raw, self.offsets)[0]
+        if not address:
+            return 0, []
+        d = self.heap_object(address, index)
+        kind, version, _, _, rank, n = struct.unpack_from("<6I", d, self.offsets)
+        if kind not in (1, 2) or version != 1 or rank > 32:
+            raise FormatError(f"a selection of kind {kind}, version {version} is not supported")
+        numbers = struct.unpack_from(f"<{rank * n * kind}I", d, self.offsets + 24)
+        places = [numbers[k : k + rank] for k in range(0, len(numbers), rank)]
+        return self._int(d, 0), [(p, p) for p in places] if kind == 1 else list(zip(places[::2], places[1::2], strict=True))
+
     def values(self, compat: bool = False) -> Values:
         return Values(self.heap_object, compat)
 

@@ -300,6 +300,13 @@ class Writer:
             raise ValueError(f"{len(data)} bytes for a shape of {safe_product(node['dims']) * node['type'].size}")
         node["address"], node["nbytes"] = self.append(data), len(data)
 
+    def region_reference(self, address: int, blocks: Sequence[tuple[Sequence[int], Sequence[int]]]) -> bytes:
+        """The value of a reference to blocks (first and last element) of the dataset whose header is at an address."""
+        rank = len(blocks[0][0])
+        numbers = [x for first, last in blocks for x in (*first, *last)]
+        body = struct.pack(f"<II{len(numbers)}I", rank, len(blocks), *numbers)
+        return struct.pack("<QI", *self._heap_put(struct.pack("<Q4I", address, 2, 1, 0, len(body)) + body))
+
     def put(self, at: int, data: bytes) -> None:
         self.file.seek(at)
         self.file.write(data)

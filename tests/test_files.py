@@ -395,3 +395,16 @@ def test_raw_bytes(tmp_path):
             with pytest.raises(ValueError):
                 w.raw(*bad)
     assert Reader(opener(path)).array("/d").tolist() == [5, -6, 7]
+
+
+def test_dump(spark, tmp_path, capsys):
+    from lattica import dump
+
+    file = tmp_path / "some.bin"
+    file.write_bytes(bytes(range(60, 100)))
+    assert dump.main(["-offset", "4", "-length", "18", str(file)]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "00000004  40 41 42 43 44 45 46 47 48 49 4a 4b 4c 4d 4e 4f  @ABCDEFGHIJKLMNO"
+    assert out[1].startswith("00000014  50 51 ") and out[1].endswith("PQ") and len(out) == 2
+    with pytest.raises(SystemExit):
+        dump.main(["-offset", "-1", str(file)])
