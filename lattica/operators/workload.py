@@ -46,19 +46,27 @@ def ratios(n: Column, deletes: Column, writes: Column, reads: Column) -> dict[st
 
 
 def sliding_features(events: DataFrame, key: str = "key", config: WorkloadConfig = DEFAULT) -> DataFrame:
-    """At each event, the features of the events of its key within the trailing window (its start included) and the ring's capacity."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = events.withColumn("us", micros).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("ts", "seq")))
-    by_time = Window.partitionBy(key).orderBy("us").rangeBetween(-config.window_seconds * 1_000_000, Window.currentRow)
+    """At each event, the features of the events of its key within the trailing window (its start included) and the ring's capacity.
+
+    A trailing window lies in the event's own stretch of the window's length and the one before. So each event is dealt to its stretch
+    and to the next one, and stretches are worked on apart: a key with most of the events is many of them.
+    """
+    micros, length = F.unix_micros(F.col("ts").cast("timestamp")), config.window_seconds * 1_000_000
+    stretch = F.floor(F.col("us") / F.lit(length)).cast("long")
+    e = events.withColumn("us", micros).withColumn("at_", F.explode(F.array(F.struct(stretch.alias("part"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("part"), F.lit(False).alias("own")))))
+    e = e.withColumn("part", F.col("at_.part")).withColumn("own", F.col("at_.own")).drop("at_")
+    here = Window.partitionBy(key, "part")
+    e = e.withColumn("rn", F.row_number().over(here.orderBy("ts", "seq")))
+    by_time = here.orderBy("us").rangeBetween(-length, Window.currentRow)
     # A range frame takes in rows of the same instant; the frame by rows keeps to insertion order and to the ring.
     e = e.withColumn("first_rn", F.min("rn").over(by_time)).withColumn("n", F.least(F.col("rn") - F.col("first_rn") + 1, F.lit(config.capacity)))
-    running = Window.partitionBy(key).orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = here.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for op, name in (("Delete", "d"), ("Write", "w"), ("Read", "r")):
         e = e.withColumn(f"cum_{name}", F.sum((F.col("op") == op).cast("long")).over(running))
-    start = e.select(F.col(key).alias("k2"), F.col("rn").alias("rn2"), *[F.col(f"cum_{c}").alias(f"at_{c}") for c in "dwr"], F.col("us").alias("first_us"), F.col("op").alias("first_op"))
-    # Counts of the frame are differences of running counts at its ends: one join on (key, row number), whatever the frame's size.
-    e = e.withColumn("rn_from", F.col("rn") - F.col("n") + 1)
-    j = e.join(start, (e[key].eqNullSafe(start["k2"])) & (e["rn_from"] == start["rn2"]))
+    start = e.select(F.col(key).alias("k2"), F.col("part").alias("part2"), F.col("rn").alias("rn2"), *[F.col(f"cum_{c}").alias(f"at_{c}") for c in "dwr"], F.col("us").alias("first_us"), F.col("op").alias("first_op"))
+    # Counts of the frame are differences of running counts at its ends: one join on (key, stretch, row number), whatever the frame's size.
+    e = e.where("own").withColumn("rn_from", F.col("rn") - F.col("n") + 1)
+    j = e.join(start, (e[key].eqNullSafe(start["k2"])) & (e["part"] == start["part2"]) & (e["rn_from"] == start["rn2"]))
     count = lambda c, op: F.col(f"cum_{c}") - F.col(f"at_{c}") + (F.col("first_op") == op).cast("long")
     j = j.select(*[e[c] for c in events.columns], "n", count("d", "Delete").alias("deletes"), count("w", "Write").alias("writes"), count("r", "Read").alias("reads"), "us", "first_us", F.col("file_size").alias("last_size"))
     return finish_features(j, config)
