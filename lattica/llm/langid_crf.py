@@ -10,7 +10,8 @@ language, which is how the transitions see code-switching.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; so is every text where no row has a
 label to learn from. Ties go to the first label in alphabetical order. Repeated rows are predicted alike;
-extra columns are not read; an empty table gives an empty result.
+extra columns are not read; an empty table gives an empty result. A very long text is labelled in parts that
+end at sentences, or at words where a part has no sentence end.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .letters import Words, mix, words_of
+from .common import give_back
+from .letters import Words, mix, parts, words_of
 
 #: Training rows of each language at most (about): the bound of the fitting sample.
 SAMPLE_PER_LANGUAGE = 250
 BITS, LEXICON_BITS = 17, 17
-CHARS_AT_ONCE = 2_000_000
+#: Texts of more characters are not in the sample, and languages beyond these (those of most rows) are not learned.
+SAMPLE_CHARS, MOST_LANGUAGES = 20_000, 128
 _A, _B = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407)
 
 
@@ -181,27 +184,17 @@ def predict(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], np.nda
     """Label and score of each text."""
     if crf is None:
         return ["und"] * len(texts), np.zeros(len(texts))
-    labels, score, part, chars = [], [], [], 0
-
-    def flush() -> None:
+    total = np.zeros((len(texts), len(crf.labels)))
+    for docs, part in parts(texts):
         w = words_of(part)
         post, _ = forward_backward(crf.emissions(w), crf.transitions, chain_starts(w))
-        total = np.stack([np.bincount(w.doc, weights=post[:, j], minlength=len(part)) for j in range(len(crf.labels))], axis=1)
-        n = total.sum(axis=1)
-        share = total / np.maximum(n, 1e-300)[:, None]
-        best = share.argmax(axis=1)
-        labels.extend("und" if n[d] == 0 else crf.labels[b] for d, b in enumerate(best))
-        score.extend(np.where(n > 0, np.clip(share.max(axis=1), 0, 1), 0.0))
-
-    for text in texts:
-        part.append(text)
-        chars += len(text or "")
-        if chars > CHARS_AT_ONCE:
-            flush()
-            part, chars = [], 0
-    if part:
-        flush()
-    return labels, np.array(score)
+        own = np.array(docs)[w.doc]
+        for j in range(len(crf.labels)):
+            total[:, j] += np.bincount(own, weights=post[:, j], minlength=len(texts))
+    n = total.sum(axis=1)
+    share = total / np.maximum(n, 1e-300)[:, None]
+    labels = ["und" if n[d] == 0 else crf.labels[b] for d, b in enumerate(share.argmax(axis=1))]
+    return labels, np.where(n > 0, np.clip(share.max(axis=1), 0, 1), 0.0)
 
 
 def word_labels(crf: Crf, text: str) -> list[tuple[str, str, float]]:
@@ -214,9 +207,13 @@ def word_labels(crf: Crf, text: str) -> list[tuple[str, str, float]]:
 
 
 def training_rows(df: DataFrame, text_col: str, lang_col: str, key_cols: list[str], per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
-    """About ``per_language`` distinct texts of each language, chosen by a hash; languages that are rarer give all."""
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    """About ``per_language`` distinct texts of each language, chosen by a hash; languages that are rarer give all.
+
+    Texts have up to SAMPLE_CHARS characters; there are up to MOST_LANGUAGES languages, those of most rows: this bounds what comes to the driver.
+    """
+    rows = df.where((F.length(text_col) <= SAMPLE_CHARS) & F.col(lang_col).isNotNull())
+    common = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
     spread = 1 << 40
@@ -237,6 +234,8 @@ def language(crf: Crf | None, text: Column) -> Column:
         for series in batches:
             lang, score = predict(crf, [None if t is None else str(t) for t in series])
             yield pd.DataFrame({"lang": lang, "score": score})
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "lang string, score double")(text)
+    # Marked so that a filter on its result does not have it run twice.
+    return F.pandas_udf(run, "lang string, score double").asNondeterministic()(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -9,6 +11,10 @@ import numpy as np
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LONGEST = 64
+#: Characters of texts that are worked on at once.
+CHARS_AT_ONCE = 500_000
+ENDS = ".!?\n。！？؟।"
+_END = re.compile(f"[{ENDS}]")
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(LONGEST)], dtype=np.uint64)
 
 
@@ -17,7 +23,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: is it a letter; does it end a sentence."""
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
     ends = np.zeros(0x110000, dtype=bool)
-    ends[[ord(c) for c in ".!?\n。！？؟।"]] = True
+    ends[[ord(c) for c in ENDS]] = True
     return letter, ends
 
 
@@ -62,3 +68,31 @@ def words_of(texts: list[str | None]) -> Words:
     terms = chars[position].astype(np.uint64) * _POWERS[np.minimum(at, LONGEST - 1)]
     hashes = mix(np.add.reduceat(terms, np.cumsum(size) - size)) if len(starts) else np.zeros(0, dtype=np.uint64)
     return Words(chars, starts, ends, hashes, doc, sentence, len(texts))
+
+
+def pieces_of(text: str, most: int) -> Iterator[str]:
+    """A text in pieces of about ``most`` characters, which end at a sentence's end, else at white space, else anywhere."""
+    at = 0
+    while len(text) - at > most + most // 2:
+        found = _END.search(text, at + most, at + most + most // 2)
+        end = found.end() if found else max(text.rfind(" ", at + most, at + most + most // 2), text.rfind("\t", at + most, at + most + most // 2)) + 1
+        end = end if end > at else at + most
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def parts(texts: list[str | None], most: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in parts of about CHARS_AT_ONCE characters: numbers of texts, and the texts or pieces of them, in order."""
+    most = most or CHARS_AT_ONCE
+    docs, part, chars = [], [], 0
+    for d, text in enumerate(texts):
+        for piece in pieces_of(text or "", most):
+            if part and chars + len(piece) > most:
+                yield docs, part
+                docs, part, chars = [], [], 0
+            docs.append(d)
+            part.append(piece)
+            chars += len(piece)
+    if part:
+        yield docs, part

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import durable
+from .common import durable, give_back
 from .pieces import PieceCodec, codec, model_texts, vocabulary
 from .segments import slices
 from .shapes import plain
@@ -378,6 +378,7 @@ def sentencepiece_encode(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 texts = [pieces.decode_lists(ids, counts)] if decode else []
                 one = pa.array(np.ones(n, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids, counts), one, one, *texts, *part.columns[2:]], names=[f.name for f in done.fields])
+        give_back()
 
     small = source.where(F.length("text") < giant).mapInArrow(whole, done)
     large = source.where(F.length("text") >= giant).withColumn("k1", F.xxhash64(F.lit(1), "id", "text")).withColumn("k2", F.xxhash64(F.lit(2), "text", "id"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, durable, normal_words, shuffle_partitions
+from .common import batch_of, durable, give_back, normal_words, shuffle_partitions
 from .components import components
 from .shapes import plain
 
@@ -74,8 +74,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
             yield batch_of(schema, [batch.column(0), pa.array(fps.view(np.int64))])
+        give_back()
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, out)
 

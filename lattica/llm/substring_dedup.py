@@ -8,9 +8,9 @@ second pass extends it: it hashes the whole windows around it (128 bits, which s
 windows fewer than N^2 / 2^129 pairs are taken for equal wrongly, 10^-13 for N = 10^13), and the earliest place
 of each window keeps it. Windows are judged on the input: (doc id, start), smaller first, null ids first.
 
-Both passes pre-aggregate: what repeats within an Arrow batch is settled there, and one row of it goes on, so a
-passage that a third of all documents share is a row for each batch. Hashes and positions are shuffled as packed
-arrays, one for each batch and bucket. There is a bucket for each shuffle partition, which a task holds whole:
+Both passes pre-aggregate: what repeats within a part of about HASHES_AT_ONCE hashes is settled there, and one row
+of it goes on, so a passage that a third of all documents share is a row for each part. Hashes and positions are
+shuffled as packed arrays, one for each part and bucket. There is a bucket for each shuffle partition, which a task holds whole:
 about three times the input over the number of shuffle partitions. Documents have buckets too, by their key.
 
 Cases: a null text has no words. Rows with one id and one text are one document: each gets its result, and
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import batch_of, normal_words, shuffle_partitions
+from .common import batch_of, give_back, normal_words, shuffle_partitions
 from .shapes import plain
 
 WINDOW = 20
@@ -40,8 +40,8 @@ COVERS = {13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
 LEAST_ANCHOR = 8
 #: How hard texts are compressed for the shuffle.
 TEXT_LEVEL = 3
-#: Positions that a task gathers before it sends them.
-MARKS_AT_ONCE = 1_000_000
+#: Positions that a task gathers before it sends them, and hashes that it settles at once.
+MARKS_AT_ONCE, HASHES_AT_ONCE = 1_000_000, 1_000_000
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -142,20 +142,28 @@ def _anchors(schema: pa.Schema, window: int, names: np.ndarray) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            hashes, keys, places, seen = [], [], [], set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc = Documents(text or "")
-                if doc.n < window or (key := doc_key(doc_id, text)) in seen:
-                    continue
-                seen.add(key)
-                at = np.arange(doc.n - width + 1)
-                at = at[in_cover[at % period]]
-                hashes.append(np.fromiter(map(digest, doc.slices(at, width)), dtype=np.uint64, count=len(at)))
-                keys.append(np.full(len(at), key, dtype=np.int64))
-                places.append(at.astype(np.uint32))
-            if not hashes:
-                continue
+
+        def parts() -> Iterator[tuple[list, list, list]]:
+            hashes, keys, places, seen, n = [], [], [], set(), 0
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True):
+                    doc = Documents(text or "")
+                    if doc.n < window or (key := doc_key(doc_id, text)) in seen:
+                        continue
+                    seen.add(key)
+                    at = np.arange(doc.n - width + 1)
+                    at = at[in_cover[at % period]]
+                    hashes.append(np.fromiter(map(digest, doc.slices(at, width)), dtype=np.uint64, count=len(at)))
+                    keys.append(np.full(len(at), key, dtype=np.int64))
+                    places.append(at.astype(np.uint32))
+                    n += len(at)
+                    if n >= HASHES_AT_ONCE:
+                        yield hashes, keys, places
+                        hashes, keys, places, seen, n = [], [], [], set(), 0
+            if hashes:
+                yield hashes, keys, places
+
+        for hashes, keys, places in parts():
             h, k, p = (np.concatenate(x) for x in (hashes, keys, places))
             order = np.argsort(h, kind="stable")
             starts, sizes = _runs(h[order])
@@ -167,6 +175,7 @@ def _anchors(schema: pa.Schema, window: int, names: np.ndarray) -> Callable:
             send, rest = np.flatnonzero(first), twice & ~first
             place = ((h[send] >> np.uint64(32)) % np.uint64(len(names))).astype(np.int64)
             yield from _hash_rows(schema, names, place, [h[send].astype(np.uint32), k[send], p[send], twice[send]], (k[rest], p[rest]))
+        give_back()
 
     return run
 
@@ -213,6 +222,7 @@ def _by_bucket(schema: pa.Schema, names: np.ndarray, batches: Iterator[pa.Record
         marks.append(settle(held))
         n_marks += len(marks[-1][0])
     yield from send()
+    give_back()
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str, names: np.ndarray, carry: list[str]) -> DataFrame:
@@ -281,28 +291,37 @@ def _windows(schema: pa.Schema, window: int, names: np.ndarray) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, state = xxhash.xxh3_128_digest, []
-        for batch in batches:
-            hashes, ids, keys, places = [], [], [], []
-            for _, key, doc_id, text, anchors, is_first in _each_document(batch, state):
-                if not len(anchors) or not is_first:
-                    continue
-                doc = Documents(text)
-                last = doc.n - window
-                near = np.zeros(doc.n + 2, dtype=np.int64)
-                np.add.at(near, np.maximum(anchors - period + 1, 0), 1)
-                np.add.at(near, anchors + 1, -1)
-                at = np.flatnonzero(np.cumsum(near)[: last + 1])
-                if len(at):
-                    hashes.append(np.frombuffer(b"".join(map(digest, doc.slices(at, window))), dtype=np.uint64).reshape(-1, 2))
-                    keys.append(np.full(len(at), key, dtype=np.int64))
-                    ids.append(np.full(len(at), np.iinfo(np.int64).min if doc_id is None else int(doc_id), dtype=np.int64))
-                    places.append(at.astype(np.uint32))
-            if not hashes:
-                continue
+
+        def parts() -> Iterator[tuple[list, list, list, list]]:
+            hashes, ids, keys, places, n = [], [], [], [], 0
+            for batch in batches:
+                for _, key, doc_id, text, anchors, is_first in _each_document(batch, state):
+                    if not len(anchors) or not is_first:
+                        continue
+                    doc = Documents(text)
+                    last = doc.n - window
+                    near = np.zeros(doc.n + 2, dtype=np.int64)
+                    np.add.at(near, np.maximum(anchors - period + 1, 0), 1)
+                    np.add.at(near, anchors + 1, -1)
+                    at = np.flatnonzero(np.cumsum(near)[: last + 1])
+                    if len(at):
+                        hashes.append(np.frombuffer(b"".join(map(digest, doc.slices(at, window))), dtype=np.uint64).reshape(-1, 2))
+                        keys.append(np.full(len(at), key, dtype=np.int64))
+                        ids.append(np.full(len(at), np.iinfo(np.int64).min if doc_id is None else int(doc_id), dtype=np.int64))
+                        places.append(at.astype(np.uint32))
+                        n += len(at)
+                    if n >= HASHES_AT_ONCE:
+                        yield hashes, ids, keys, places
+                        hashes, ids, keys, places, n = [], [], [], [], 0
+            if hashes:
+                yield hashes, ids, keys, places
+
+        for hashes, ids, keys, places in parts():
             h, i, k, p = (np.concatenate(x) for x in (hashes, ids, keys, places))
             place = (h[:, 1] % np.uint64(len(names))).astype(np.int64)
             first, rest = _earliest(h[:, 0], h[:, 1], i, k, p)
             yield from _hash_rows(schema, names, place[first], [h[first, 0], h[first, 1], i[first], k[first], p[first]], (k[rest], p[rest]))
+        give_back()
 
     return run
 
@@ -325,8 +344,9 @@ def _group_windows(schema: pa.Schema, names: np.ndarray) -> Callable:
     return lambda batches: _by_bucket(schema, names, batches, settle, (np.uint64, np.uint64, np.int64, np.int64, np.uint32))
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """For each row its id, its words, how many of them repeated windows cover, the text of the others (joined by one space), and the carried columns. Ids are integers."""
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """For each row its id, its words, how many of them repeated windows cover, the text of the others (``kept``, joined by one space), and
+    the carried columns; with_text: also the text as it was (``text``; null texts are empty). Ids are integers."""
     spark = df.sparkSession
     n = shuffle_partitions(spark)
     names = bucket_names(n)
@@ -339,13 +359,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = _met(repeated, texts, n).mapInArrow(_windows(rows_schema, window, names), rows)
     later = whole.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group_windows(marks_schema, names), marks)
     texts = _documents(df, id_col, text_col, names, list(carry))
-    fields = [StructField(id_col, df.schema[id_col].dataType), *plain("n_words bigint, n_removed bigint, kept string")[0].fields]
+    fields = [StructField(id_col, df.schema[id_col].dataType), *plain("n_words bigint, n_removed bigint, kept string" + ", text string" * with_text)[0].fields]
     out = StructType(fields + [StructField("carry", StructType([df.schema[c] for c in carry]))] * bool(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list[_Bucket] = []
-        for batch in batches:
-            at, words, removed, kept = [], [], [], []
+        for batch in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
+            at, words, removed, kept, texts = [], [], [], [], []
             for row, _, _, text, starts, _ in _each_document(batch, state):
                 data = text.encode("utf-8", "surrogatepass").split()
                 cover = np.zeros(len(data) + window + 1, dtype=np.int64)
@@ -353,15 +373,18 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 np.add.at(cover, starts + window, -1)
                 gone = np.cumsum(cover)[: len(data)] > 0
                 at.append(row)
+                if with_text:
+                    texts.append(text)
                 words.append(len(data))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(data, gone.tolist(), strict=True) if not g] if removed[-1] else data).decode("utf-8", "replace"))
             take = pa.array(at, pa.int64())
-            cols = [batch.column(2).take(take), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(c.take(take) for c in batch.columns[4:])]
+            cols = [batch.column(2).take(take), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *([pa.array(texts, pa.string())] if with_text else []), *(c.take(take) for c in batch.columns[4:])]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out.fields])
+        give_back()
 
     done = _met(later, texts, n).mapInArrow(run, out)
-    return done.select(id_col, "n_words", "n_removed", "kept", *[F.col(f"carry.{c}").alias(c) for c in carry]) if carry else done
+    return done.select(id_col, "n_words", "n_removed", "kept", *(["text"] if with_text else []), *[F.col(f"carry.{c}").alias(c) for c in carry]) if carry else done
 
 
 #: The digest columns of the query, in SQL.
