@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import langid_crf
-from lattica.llm.common import table
+from lattica.llm.common import stored, table, without
 from lattica.llm.decontaminate import decontaminate
 from lattica.llm.queries import fold
 from lattica.llm.sentencepiece_scan import sentencepiece_encode
@@ -29,14 +29,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; rows that share an id are one document."""
-    kept = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """The document with the least id of each group; rows that share an id are one document. Only ids leave the documents, no texts."""
+    found = simhash_components(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return without(docs.select(*COLUMNS), found.where("not kept").select("doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that an earlier one has; those with nothing left go. Texts that lose nothing stay as they are."""
-    done = substring_dedup(docs.select(*COLUMNS), carry=("text", "lang", "source", "n_chars"))
+    done = substring_dedup(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), with_text=True)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     kept = done.where("n_words > n_removed").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
     return kept.select(*COLUMNS)
@@ -44,8 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti").select(*COLUMNS)
+    return without(docs.select(*COLUMNS), decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +57,10 @@ STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's result is cut off by a checkpoint, so that a lost executor costs one stage at most."""
-    from lattica.llm.common import durable
-
+    """All stages over documents. Each stage's result is written and read again, so that a lost executor costs one stage at most."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = durable(docs)
+            docs = stored(docs)
     return docs
