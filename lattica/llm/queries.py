@@ -22,7 +22,7 @@ def fold(id_col: str, parts: int, held: int):
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents"), lang_col="lang")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +42,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    # A stand-in for a list that is fed from outside: the URLs of three hosts.
-    host, _ = url_filter.host_and_path(F.col("url"))
-    listed = url_filter.listed_urls(pages.where(host.rlike(r"(^|\.)(" + "|".join(url_filter.LISTED_HOSTS) + r")\.")))
-    return url_filter.url_filter(pages, listed)
+    # A stand-in for a list that is fed from outside, stated by a rule.
+    return url_filter.url_filter(pages, url_filter.listed_urls(url_filter.stated_list(spark)))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +62,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5, 0))
     labels = table(spark, sf_dir, "labels")
     mil = toxicity_mil.train(docs.where("not held_out"), labels.where(~fold("doc_id", 5, 0)))
-    scored = docs.select("doc_id", "held_out", toxicity_mil.toxicity(mil, F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = docs.select("doc_id", "held_out", toxicity_mil.toxicity(mil, F.col("text")).alias("found"))
+    return scored.select("doc_id", "held_out", "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), F.col("found.sentences").alias("offending"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +71,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" ")), 256)
     docs = docs.select("doc_id", "text", seen.alias("seen_sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     coded = sentencepiece_encode(docs, carry=("seen_sha256", "n_chars"), decode=True)
-    out = coded.select("doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "seen_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return out.select("doc_id", "n_chars", "n_pieces", "pieces_hash", "decoded_sha256", (F.col("seen_sha256") == F.col("decoded_sha256")).alias("round_trip"))
+    out = coded.select("doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "n_chunks", "n_states", "seen_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_chars", "n_pieces", "pieces_hash", "n_chunks", "n_states", "decoded_sha256", (F.col("seen_sha256") == F.col("decoded_sha256")).alias("round_trip"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

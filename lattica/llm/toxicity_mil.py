@@ -1,13 +1,14 @@
 """Operator 8: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is the logistic function of a bias and the
-weights of its words and of their first five letters; the document's is the noisy-or of its sentences', 1 - prod(1 - p). Only documents have
-labels: the gradient of their likelihood goes through the noisy-or to the sentences, so the trained model
-also says which sentences offend.
+A document is a bag of sentences. A sentence's probability is the logistic function of a bias and the weights
+of its words and of the beginnings (BEGINNINGS letters) of its longer words; the document's is the noisy-or of
+its sentences', 1 - prod(1 - p). Only documents have labels: the gradient of their likelihood goes through the
+noisy-or to the sentences, so the trained model also says which sentences offend, and how much.
 
 Cases: a null or empty text, or one without words, has score 0. Null labels are not learned from; several
 labels of one document count as the greatest. Without any label of each kind all scores are 0. Repeated
-rows get the same score; extra columns are not read; an empty table gives an empty result.
+rows get the same score; extra columns are not read; an empty table gives an empty result. A very long text is
+scored in parts that end at sentences, or at words where a part has no sentence end.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .letters import Words, mix, words_of
+from .letters import Words, mix, parts, words_of
 
 #: Labelled documents that the fit uses at most (about).
 SAMPLE_DOCS = 6_000
+#: Labelled documents of more characters are not in the sample, so that it is bounded in bytes too.
+SAMPLE_CHARS = 20_000
 BITS = 20
-CHARS_AT_ONCE = 2_000_000
+#: A word's beginning of so many letters is a feature of it if the word is longer.
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 
 @dataclass
@@ -42,18 +46,22 @@ class Mil:
         """The logit of each sentence."""
         n = int(w.sentence[-1]) + 1 if len(w.sentence) else 0
         value = self.value(w.hashes)
-        begin, sentence = beginnings(w)
-        value[sentence >= 0] += self.value(begin)
+        for long, h in beginnings(w):
+            value[long] += self.value(h)
         return np.bincount(w.sentence, weights=value, minlength=n) + self.bias
 
 
-def beginnings(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first five letters of the longer words, and each word's sentence (-1 for shorter words)."""
-    long = w.ends - w.starts > 5
-    h = np.zeros(int(long.sum()), dtype=np.uint64)
-    for k in range(5):
+def beginnings(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of BEGINNINGS the places of the longer words and the hashes of their first letters."""
+    size = w.ends - w.starts
+    long = np.arange(len(size))
+    h = np.zeros(len(size), dtype=np.uint64)
+    for k in range(max(BEGINNINGS)):
+        more = size[long] > k + 1
+        long, h = long[more], h[more]
         h = (h + w.chars[w.starts[long] + k].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h), np.where(long, w.sentence, -1)
+        if k + 1 in BEGINNINGS:
+            yield long, mix(h + np.uint64(k + 1))
 
 
 def sentence_docs(w: Words) -> np.ndarray:
@@ -66,23 +74,25 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all features with their sentence and document, and the document of each sentence; made part by part."""
-    out, sentences, at = [], 0, 0
-    while at < len(texts):
-        part, chars = [], 0
-        while at + len(part) < len(texts) and chars < CHARS_AT_ONCE:
-            part.append(texts[at + len(part)])
-            chars += len(part[-1])
+    out, sentences = [], 0
+    for docs, part in parts(texts):
         w = words_of(part)
-        begin, has = beginnings(w)
-        long = has >= 0
-        out.append((np.concatenate((w.hashes, begin)), np.concatenate((w.sentence, w.sentence[long])) + sentences, np.concatenate((w.doc, w.doc[long])) + at, sentence_docs(w) + at))
+        own = np.array(docs)
+        long = [(w.hashes, np.arange(len(w.hashes)))] + [(h, at) for at, h in beginnings(w)]
+        at = np.concatenate([x for _, x in long])
+        out.append((np.concatenate([h for h, _ in long]), w.sentence[at] + sentences, own[w.doc[at]], own[sentence_docs(w)]))
         sentences += len(out[-1][3])
-        at += len(part)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def fit(texts: list[str], toxic: list[int], least_docs: int = 4, epochs: int = 120, penalty: float = 0.003) -> Mil | None:
-    """Full-batch AdaGrad on the noisy-or likelihood, with an L1 penalty that leaves chance words at zero."""
+def slopes(total: np.ndarray, y: np.ndarray, toxic_weight: float) -> np.ndarray:
+    """Derivative of each document's weighted log-likelihood by ``total``, its sum of softplus."""
+    big = np.maximum(-np.expm1(-total), 1e-9)
+    return np.where(y > 0, toxic_weight * (1.0 - big) / big, -1.0)
+
+
+def fit(texts: list[str], toxic: list[int], least_docs: int = 4, epochs: int = 160, penalty: float = 0.006, toxic_weight: float = 3.0) -> Mil | None:
+    """Full-batch AdaGrad on the noisy-or likelihood, in which a toxic document counts ``toxic_weight`` times, with an L1 penalty that leaves chance words at zero."""
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
@@ -106,9 +116,7 @@ def fit(texts: list[str], toxic: list[int], least_docs: int = 4, epochs: int = 1
         z = np.bincount(sentence, weights=weights[word], minlength=n_sentences) + bias
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
         total = np.bincount(doc, weights=softplus(z), minlength=n_docs)
-        big = np.maximum(-np.expm1(-total), 1e-9)
-        slope = np.where(y > 0, (1.0 - big) / big, -1.0)
-        gz = slope[doc] * p
+        gz = slopes(total, y, toxic_weight)[doc] * p
         g = np.bincount(word, weights=gz[sentence], minlength=n_words)
         # L1 by truncation: a weight at zero moves only if the pull on it is above the penalty.
         pull = penalty * np.sqrt(n_docs)
@@ -118,7 +126,7 @@ def fit(texts: list[str], toxic: list[int], least_docs: int = 4, epochs: int = 1
         weights = np.where((weights != 0) & (np.sign(new) != np.sign(weights)), 0.0, new)
         gb = gz.sum()
         b2 += gb * gb
-        bias += 0.3 * gb / np.sqrt(b2)
+        bias += 0.6 * gb / np.sqrt(b2)
     signature, table = np.zeros(1 << BITS, dtype=np.uint32), np.zeros(1 << BITS, dtype=np.float32)
     own = words[common]
     alive = np.flatnonzero(weights)
@@ -129,41 +137,42 @@ def fit(texts: list[str], toxic: list[int], least_docs: int = 4, epochs: int = 1
     return Mil(signature, table, float(bias))
 
 
-def scores(mil: Mil | None, texts: list[str | None]) -> np.ndarray:
-    if mil is None:
-        return np.zeros(len(texts))
-    out, part, chars = [], [], 0
-
-    def flush() -> None:
+def scored_sentences(mil: Mil, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Part by part: the document and the logit of each sentence, in order."""
+    for docs, part in parts(texts):
         w = words_of(part)
-        total = np.bincount(sentence_docs(w), weights=softplus(mil.sentence_scores(w)), minlength=len(part)) if len(w.sentence) else np.zeros(len(part))
-        out.append(np.clip(-np.expm1(-total), 0.0, 1.0))
+        yield np.array(docs)[sentence_docs(w)], mil.sentence_scores(w) if len(w.sentence) else np.zeros(0)
 
-    for text in texts:
-        part.append(text)
-        chars += len(text or "")
-        if chars > CHARS_AT_ONCE:
-            flush()
-            part, chars = [], 0
-    if part:
-        flush()
-    return np.concatenate(out) if out else np.zeros(0)
 
-
-def offending(mil: Mil, text: str, threshold: float = 0.5) -> list[tuple[int, float]]:
-    """Numbers (from 0, among sentences with words) and probabilities of the sentences over the threshold."""
-    w = words_of([text])
-    p = 1.0 / (1.0 + np.exp(-mil.sentence_scores(w)))
-    return [(int(k), float(p[k])) for k in np.flatnonzero(p >= threshold)]
+def scores(mil: Mil | None, texts: list[str | None]) -> np.ndarray:
+    total = np.zeros(len(texts))
+    if mil is not None:
+        for doc, z in scored_sentences(mil, texts):
+            total += np.bincount(doc, weights=softplus(z), minlength=len(texts))
+    return np.clip(-np.expm1(-total), 0.0, 1.0)
+
+
+def offending(mil: Mil | None, texts: list[str | None], threshold: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
+    """The score of each text, and the numbers (from 0, among sentences with words) and probabilities of its sentences from the threshold on."""
+    total, found, seen = np.zeros(len(texts)), [[] for _ in texts], np.zeros(len(texts), dtype=np.int64)
+    if mil is not None:
+        for doc, z in scored_sentences(mil, texts):
+            total += np.bincount(doc, weights=softplus(z), minlength=len(texts))
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+            first = np.searchsorted(doc, doc)
+            for k in np.flatnonzero(p >= threshold).tolist():
+                found[doc[k]].append((int(seen[doc[k]] + k - first[k]), float(p[k])))
+            seen += np.bincount(doc, minlength=len(texts))
+    return np.clip(-np.expm1(-total), 0.0, 1.0), found
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE_DOCS) -> pd.DataFrame:
-    """About ``most`` labelled documents: their ids are sampled by a hash among the labels, then broadcast (the sample is the bound) to find the texts."""
+    """About ``most`` labelled documents of up to SAMPLE_CHARS characters: their ids are sampled by a hash among the labels, then broadcast (the sample is the bound) to find the texts."""
     marks = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max(label_col).alias("toxic"))
     n = marks.count()
     spread = 1 << 40
     sample = marks.where(F.pmod(F.xxhash64("id"), F.lit(spread)) < (min(spread, spread * most // n) if n else 0))
-    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null").join(F.broadcast(sample), "id")
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(sample), "id")
     return found.select("text", "toxic").distinct().orderBy("text", "toxic").toPandas()
 
 
@@ -172,12 +181,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist()) if len(rows) else None
 
 
-def toxicity(mil: Mil | None, text: Column) -> Column:
-    """The score of a text column, from 0 to 1. The model has a fixed size: 2^20 slots."""
+def toxicity(mil: Mil | None, text: Column, threshold: float = 0.5) -> Column:
+    """struct(score, sentences) of a text column: the score from 0 to 1, and the sentences that offend, struct(number, score) each.
+
+    The model has a fixed size: 2^20 slots.
+    """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
-            yield pd.Series(scores(mil, [None if t is None else str(t) for t in series]))
+            score, found = offending(mil, [None if t is None else str(t) for t in series], threshold)
+            yield pd.DataFrame({"score": score, "sentences": [[{"number": k, "score": p} for k, p in x] for x in found]})
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")(text)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    # Marked so that a filter on its result does not have it run twice.
+    return F.pandas_udf(run, "score double, sentences array<struct<number:int,score:double>>").asNondeterministic()(text)

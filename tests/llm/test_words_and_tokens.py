@@ -233,3 +233,16 @@ def test_walks_that_meet_give_the_matrix_of_single_walks(monkeypatch):
             monkeypatch.setattr(scan, "MEET", meet)
             assert (lattice.whole_walks(text, left, right) == want).all()
         assert np.isfinite(want).any()
+
+
+def test_slices_and_flat_texts():
+    texts = ["ab", None, "", "é" * 50, "x y  z", "\u2003q"]
+    column = _column(["skipped", *texts]).slice(1)
+    assert [x for a, n in segments.slices(column, 10) for x in column.slice(a, n).to_pylist()] == texts
+    assert [n for _, n in segments.slices(column, 10)] == [3, 1, 2]
+    t = segments.texts_of(column)
+    assert [t.data[a + 1 : b].tobytes().decode() for a, b in zip(t.offsets, t.offsets[1:])] == [x or "" for x in texts]
+    assert t.chars().tolist() == [len(x or "") for x in texts]
+    starts, ends = segments.words(t)
+    assert [t.data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == ["ab", "é" * 50, "x", "y", "z", "\u2003q"]
+    assert list(segments.slices(_column([]))) == [] and segments.texts_of(_column([])).n == 0
