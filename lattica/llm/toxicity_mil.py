@@ -26,8 +26,8 @@ from .letters import Words, mix, parts, words_of
 #: Labelled documents that the fit uses at most (about).
 SAMPLE_DOCS = 6_000
 #: Labelled documents of more characters are not in the sample, so that it is bounded in bytes too.
-SAMPLE_CHARS = 20_000
-BITS = 20
+SAMPLE_CHARS = 10_000
+BITS, SKETCH_BITS = 20, 22
 #: A word's beginning of so many letters is a feature of it if the word is longer.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -72,17 +72,32 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all features with their sentence and document, and the document of each sentence; made part by part."""
-    out, sentences = [], 0
+def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Part by part: hashes of the features with their sentence (numbered over all parts) and document, and the document of each sentence."""
+    sentences = 0
     for docs, part in parts(texts):
         w = words_of(part)
-        own = np.array(docs)
+        own = np.array(docs, dtype=np.int32)
         long = [(w.hashes, np.arange(len(w.hashes)))] + [(h, at) for at, h in beginnings(w)]
         at = np.concatenate([x for _, x in long])
-        out.append((np.concatenate([h for h, _ in long]), w.sentence[at] + sentences, own[w.doc[at]], own[sentence_docs(w)]))
-        sentences += len(out[-1][3])
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        of_sentence = own[sentence_docs(w)]
+        yield np.concatenate([h for h, _ in long]), (w.sentence[at] + sentences).astype(np.int32), own[w.doc[at]], of_sentence
+        sentences += len(of_sentence)
+
+
+def bags(texts: list[str], least_docs: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`features` gives, of all parts, without features that fewer than least_docs documents have by a count over some bits of their hashes."""
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+    slot = lambda h: (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    for hashes, _, doc, _ in features(texts):
+        seen = np.unique(doc.astype(np.int64) << SKETCH_BITS | slot(hashes))
+        np.add.at(counts, seen & ((1 << SKETCH_BITS) - 1), 1)
+    kept, of_sentences = [], []
+    for hashes, sentence, doc, of_sentence in features(texts):
+        often = counts[slot(hashes)] >= least_docs
+        kept.append((hashes[often], sentence[often], doc[often]))
+        of_sentences.append(of_sentence)
+    return (*(np.concatenate(x) for x in zip(*kept, strict=True)), np.concatenate(of_sentences))
 
 
 def slopes(total: np.ndarray, y: np.ndarray, toxic_weight: float) -> np.ndarray:
@@ -96,16 +111,18 @@ def fit(texts: list[str], toxic: list[int], least_docs: int = 4, epochs: int = 1
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    hashes, in_sentence, in_doc, doc = bags(texts)
+    hashes, in_sentence, in_doc, doc = bags(texts, least_docs)
+    if not len(hashes):
+        return None
     words, index = np.unique(hashes, return_inverse=True)
     del hashes
-    doc_words = np.unique(in_doc * len(words) + index)
+    doc_words = np.unique(in_doc.astype(np.int64) * len(words) + index)
     del in_doc
     common = np.bincount(doc_words % len(words), minlength=len(words)) >= least_docs
     keep = np.cumsum(common) - 1
     used = common[index]
     # A word counts once in a sentence.
-    pairs = np.unique(in_sentence[used] << 32 | keep[index[used]])
+    pairs = np.unique(in_sentence[used].astype(np.int64) << 32 | keep[index[used]])
     sentence, word = pairs >> 32, pairs & 0xFFFFFFFF
     n_sentences, n_words = len(doc), int(common.sum())
     del index, used, in_sentence, pairs
