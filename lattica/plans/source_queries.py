@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from lattica.operators import catalog
+from lattica.session import shared_folder
 from lattica.sources.h5array import regions, register, scan, write_catalog, write_chunks
 from lattica.sources.h5types import OBJECT_REFERENCE, REGION_REFERENCE, VLEN_STRING, compound, enum_of, fixed_string, floating, integer, type_of
 from lattica.sources.h5write import Writer, filter_list
@@ -19,13 +20,13 @@ from .tables import E_SQL, embeddings, extent, table
 
 
 def _folder(spark) -> str:
-    """A folder that driver and executors share: under the checkpoint folder, or a temporary one of a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and "://" not in shared.removeprefix("file://"):
-        path = os.path.join(shared.removeprefix("file://"), f"h5array-{uuid.uuid4().hex}")
-        os.makedirs(path)
-        return path
-    return tempfile.mkdtemp(prefix="lattica-h5array-")
+    """A new folder that driver and executors share, in the shared folder; files of the format go to mounted paths."""
+    shared = re.sub("^file:(//)?", "", shared_folder(spark))
+    if "://" in shared:
+        raise ValueError("set spark.checkpoint.dir to a mounted folder: files of the format are not written to stores")
+    path = os.path.join(shared, f"h5array-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
 
 
 def _written(spark, sf_dir) -> str:
