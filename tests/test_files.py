@@ -408,3 +408,40 @@ def test_dump(spark, tmp_path, capsys):
     assert out[1].startswith("00000014  50 51 ") and out[1].endswith("PQ") and len(out) == 2
     with pytest.raises(SystemExit):
         dump.main(["-offset", "-1", str(file)])
+
+
+def test_heap_beyond_its_direct_blocks(tmp_path):
+    """Links of over 458,752 bytes in all: the heap's larger blocks are tables of blocks; each object is found."""
+    from lattica.sources import h5index
+    from lattica.sources.h5read import Fractal
+
+    path, names = str(tmp_path / "many.h5"), [f"link-{k:06}" for k in range(16_000)]
+    with Writer(path) as w:
+        w.group("/g")
+        for n in names:
+            w.soft_link(f"/g/{n}", "/a target/of a link/" + n[::-1])
+    assert [(p, x.path) for p, x, _ in Reader(opener(path)).walk() if x.kind == "soft"] == [(f"/g/{n}", "/a target/of a link/" + n[::-1]) for n in names]
+    # Objects of all lengths, up to several nested tables.
+    objects = [bytes([k % 251]) * (1 + 37 * k % 487) for k in range(30_000)]
+    with open(tmp_path / "heap", "w+b") as f:
+        def append(data):
+            f.seek(0, 2)
+            at = f.tell()
+            f.write(data)
+            return at
+
+        def put(at, data):
+            f.seek(at)
+            f.write(data)
+
+        append(b"\0" * 8)
+        heap, ids = h5index.write_heap(append, put, objects, 7)
+
+        def read(at, n):
+            f.seek(at)
+            return f.read(n)
+
+        r = Reader(opener(path))
+        r.read = read
+        fractal = Fractal(r, heap)
+        assert [fractal.get(i) for i in ids] == objects and fractal.most == 1 << 16 and fractal.rows > 9
