@@ -20,18 +20,18 @@ NONE, LAZY, INCREMENTAL = "none", "lazy", "incremental"
 
 @dataclass(frozen=True)
 class WorkloadConfig:
-    """Window, samples needed, ring capacity, and the bounds of the rules."""
+    """Window, samples needed, ring capacity (None: no ring, all of a window counts), and the bounds of the rules."""
 
     window_seconds: int = 300
     min_samples: int = 10
-    capacity: int = 10_000
+    capacity: int | None = 10_000
     min_confidence: float = 0.7
     min_mode_seconds: int = 30
     allowed: tuple[str, ...] = (NONE, LAZY, INCREMENTAL)
     large_file: int = 500 * MIB
 
     def __post_init__(self) -> None:
-        if self.window_seconds <= 0 or self.min_samples < 1 or self.capacity < 1 or self.min_mode_seconds < 0 or self.large_file < 0:
+        if self.window_seconds <= 0 or self.min_samples < 1 or self.capacity is not None and self.capacity < 1 or self.min_mode_seconds < 0 or self.large_file < 0:
             raise ValueError("window, samples, capacity, time and size are positive")
         if not 0 <= self.min_confidence <= 1 or not set(self.allowed) <= {NONE, LAZY, INCREMENTAL}:
             raise ValueError("a confidence from 0 to 1 and known modes are asked for")
@@ -48,18 +48,37 @@ def ratios(n: Column, deletes: Column, writes: Column, reads: Column) -> dict[st
 def sliding_features(events: DataFrame, key: str = "key", config: WorkloadConfig = DEFAULT) -> DataFrame:
     """At each event, the features of the events of its key within the trailing window (its start included) and the ring's capacity.
 
+    With a ring, events of the same instant count in their insertion order; without one, all of them count at each.
     A trailing window lies in the event's own stretch of the window's length and the one before. So each event is dealt to its stretch
-    and to the next one, and stretches are worked on apart: a key with most of the events is many of them.
+    and to the next one, and stretches are worked on apart: a key with most of the events is many of them. In the next stretch an event
+    stands where it leaves the windows. So what a window holds are the events of its stretch up to its end, and those of the stretch
+    before that leave after it: running counts from the stretch's end, whatever a window's size.
     """
     micros, length = F.unix_micros(F.col("ts").cast("timestamp")), config.window_seconds * 1_000_000
     stretch = F.floor(F.col("us") / F.lit(length)).cast("long")
-    e = events.withColumn("us", micros).withColumn("at_", F.explode(F.array(F.struct(stretch.alias("part"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("part"), F.lit(False).alias("own")))))
-    e = e.withColumn("part", F.col("at_.part")).withColumn("own", F.col("at_.own")).drop("at_")
+    own, next_ = F.struct(stretch.alias("part"), F.lit(True).alias("own"), F.col("us").alias("mark")), F.struct((stretch + 1).alias("part"), F.lit(False).alias("own"), (F.col("us") + length).alias("mark"))
+    e = events.withColumn("us", micros).withColumn("at_", F.explode(F.array(own, next_)))
+    e = e.withColumns({c: F.col(f"at_.{c}") for c in ("part", "own", "mark")}).drop("at_")
     here = Window.partitionBy(key, "part")
+    if config.capacity is None:
+        # One order serves all: marks at the event's time or later come first. Those of the same time leave later: they are still inside.
+        back = here.orderBy((-F.col("mark")).alias("back"))
+        whole, later = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), back.rangeBetween(Window.unboundedPreceding, -1)
+        inside = back.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = {}
+        for name, hit in {"n": F.lit(True), "deletes": F.col("op") == "Delete", "writes": F.col("op") == "Write", "reads": F.col("op") == "Read"}.items():
+            one = F.coalesce(hit.cast("long"), F.lit(0))
+            mine, old = F.when(F.col("own"), one).otherwise(0), F.when(F.col("own"), 0).otherwise(one)
+            till = F.sum(mine).over(whole) - F.coalesce(F.sum(mine).over(later), F.lit(0)) + F.sum(old).over(inside)
+            counts[name] = F.when(F.col("mark").isNull(), F.sum(mine).over(whole)).otherwise(till)  # those without a time are together
+        first_us = F.least(F.min(F.when(F.col("own"), F.col("us"))).over(whole), F.min(F.when(~F.col("own"), F.col("us"))).over(inside))
+        j = e.select("*", *[c.alias(n) for n, c in counts.items()], first_us.alias("first_us")).where("own")
+        return finish_features(j.select(*events.columns, *counts, "us", "first_us", F.col("file_size").alias("last_size")), config)
     e = e.withColumn("rn", F.row_number().over(here.orderBy("ts", "seq")))
-    by_time = here.orderBy("us").rangeBetween(-length, Window.currentRow)
-    # A range frame takes in rows of the same instant; the frame by rows keeps to insertion order and to the ring.
-    e = e.withColumn("first_rn", F.min("rn").over(by_time)).withColumn("n", F.least(F.col("rn") - F.col("first_rn") + 1, F.lit(config.capacity)))
+    back = here.orderBy((-F.col("mark")).alias("back")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # The events of the stretch before come first by time; those that have left by then are counted off.
+    old, gone = F.sum(F.when(F.col("own"), 0).otherwise(1)), F.col("old") - F.col("left")
+    e = e.withColumn("old", old.over(here)).withColumn("left", old.over(back)).withColumn("n", F.least(F.col("rn") - gone, F.lit(config.capacity)))
     running = here.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for op, name in (("Delete", "d"), ("Write", "w"), ("Read", "r")):
         e = e.withColumn(f"cum_{name}", F.sum((F.col("op") == op).cast("long")).over(running))
@@ -116,7 +135,7 @@ def rule_mode(workload: Column, size: Column, config: WorkloadConfig = DEFAULT)
 def confidence(n: Column, delete_ratio: Column, burst: Column) -> Column:
     base = F.when(n == 0, 0.0).when(n >= 1000, 0.9).when(n >= 100, 0.75).when(n >= 50, 0.65).when(n >= 10, 0.5).otherwise(0.3)
     more = F.when((delete_ratio > 0.6) | (delete_ratio < 0.05), 0.1).otherwise(0.0) + F.when(burst, 0.05).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), base + more))
+    return F.when(n == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), base + more), 2))  # sums of hundredths, as these are
 
 
 def decide(features: DataFrame, config: WorkloadConfig = DEFAULT) -> DataFrame:
