@@ -22,12 +22,13 @@ RUNS = "run bigint, at_us bigint, keys bigint, changed bigint, milliseconds doub
 
 
 def trailing_features(events: DataFrame, now_us: int, config: WorkloadConfig = DEFAULT) -> DataFrame:
-    """Features of each key's events within the window that ends now, its last ``capacity`` ones at most."""
+    """Features of each key's events within the window that ends now, its last ``capacity`` ones at most (None: all)."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     inside = events.withColumn("us", us).where((F.col("us") >= now_us - config.window_seconds * 1_000_000) & (F.col("us") <= now_us))
-    # The ring holds the last ones: where a key has more, those before its capacity-th last are cut off by their place.
-    ordered = inside.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("us"), F.desc("seq")))).where(F.col("rank") <= config.capacity)
-    grouped = ordered.groupBy("key").agg(
+    if config.capacity is not None:
+        # The ring holds the last ones: where a key has more, those before its capacity-th last are cut off by their place.
+        inside = inside.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("us"), F.desc("seq")))).where(F.col("rank") <= config.capacity)
+    grouped = inside.groupBy("key").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("op") == op).alias(name) for op, name in (("Delete", "deletes"), ("Write", "writes"), ("Read", "reads"))],
         F.max("us").alias("us"),
